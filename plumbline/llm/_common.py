@@ -132,3 +132,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def least_reachable(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, component_id) of every class (key, first): the least ``first`` among the classes reachable over ``edges``."""
+    joined = components(edges)  # only classes with links
+    members = joined.select(F.col("node").alias("key"), "root").unionByName(joined.select(F.col("root").alias("key"), "root").distinct())
+    members = cut(members.join(classes, "key"))
+    best = cut(members.groupBy("root").agg(F.min("first").alias("best")))
+    linked = cut(members.join(best.hint("merge"), "root").select(F.col("key").alias("of"), "best"))
+    out = classes.join(linked, classes.key == linked.of, "left")
+    return stored(out.select("key", F.coalesce("best", "first").alias("component_id")), "labels")

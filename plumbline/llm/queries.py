@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import bpe, embeddings, exact_dedup, mixing, sharding, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,44 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(_table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.group(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_exact_dedup, op8_histogram_shards)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_exact_dedup, op6_simhash_byte_index, op7_embedding_grid_join, op8_histogram_shards, op9_token_counts, op10_byte_bpe)}
 
 ORACLES = {
+    "op7_embedding_grid_join": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        ), usable AS (
+            SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+            AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach(a, b) AS (
+            SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+        ), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+        FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
