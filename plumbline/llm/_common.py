@@ -62,6 +62,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A join side: broadcast if it has ``rows`` rows at most (it is counted, so cut or store it first), else merged."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+
+
+def filesystem(uri: str):
+    """(filesystem, path) of a folder in the shared store, for Python on the executors: local mounts, HDFS, S3, GCS."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, exact_dedup, mixing, sharding, simhash, token_counts
+from . import bpe, embeddings, exact_dedup, mixing, quality, secrets, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.decisions(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
@@ -39,9 +51,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_exact_dedup, op6_simhash_byte_index, op7_embedding_grid_join, op8_histogram_shards, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_mix_sources, op3_secret_markov, op4_quality_weak_labels, op5_exact_dedup, op6_simhash_byte_index, op7_embedding_grid_join, op8_histogram_shards, op9_token_counts, op10_byte_bpe)}
 
 ORACLES = {
+    "op1_warc_normaliser": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, n AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((
+                   (strpos('0123456789abcdef', substr(x, (5 * i // 4 + 1)::INT, 1)) - 1) * 16
+                   + greatest(strpos('0123456789abcdef', substr(x || '0', (5 * i // 4 + 2)::INT, 1)) - 1, 0))
+                   // (1 << (3 - 5 * i % 4)::INT)) % 32 + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM d""",
     "op7_embedding_grid_join": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings

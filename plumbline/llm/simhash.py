@@ -95,10 +95,9 @@ def links(fps: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
         lists = C.stored(lists.where("n > 1"), "lists")
         pairs = lists.where("n = 2").select("a", "b")
         more = lists.where("n > 2").select("mask", "key", "n")
-        held = more.count()
+        held = not more.isEmpty()
         if held:
-            more = F.broadcast(more) if held <= BROADCAST_ROWS else more.hint("merge")
-            members = C.stored(posted.join(more, ["mask", "key"]), "members")
+            members = C.stored(posted.join(C.sized(more, BROADCAST_ROWS), ["mask", "key"]), "members")
             last = level == 2
             short = members if last else members.where(F.col("n") <= longest)
             sets = short.groupBy("mask", "key").agg(F.array_sort(F.collect_list("fp")).alias("m"))  # up to ``longest`` each
