@@ -13,6 +13,7 @@ import zlib
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,42 +221,37 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, siz
     return voted, posterior, Scorer(weight, bias)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, size: int = FEATURES, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``_votes``, ``_weak`` (posterior of bad by the labellers), ``_bad`` (the scorer's) and ``_kept``.
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, size: int = FEATURES, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
+    """(``docs`` with one struct column (votes, weak, bad, kept) more, that column's name).
 
-    The scorer decides.  Where the labellers find one class only, there is nothing to fit and their posterior decides.  Null,
-    empty and blank texts are rejected.  Repeated rows get equal scores.  Empty table: no rows.  All input columns stay; names
-    that clash with the new ones are refused.
+    ``weak`` is the labellers' posterior of bad, ``bad`` the scorer's probability, which decides.  Where the labellers find
+    one class only there is nothing to fit and their posterior decides.  Null, empty and blank texts are rejected.  Repeated
+    rows get equal scores, null ids are no matter.  Empty table: no rows.  All input columns stay, whatever their names.
     """
-    new = ["_votes", "_weak", "_bad", "_kept"]
-    if clash := set(new) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for i in range(len(taken) + 1) if (n := f"judged{i}") not in taken)
     _, posterior, scorer = train(docs, id_col, text_col, sample, size)
-    result = T.StructType([T.StructField("votes", T.StringType()), T.StructField("weak", T.DoubleType()), T.StructField("bad", T.DoubleType())])
+    result = T.StructType([T.StructField("votes", T.StringType()), T.StructField("weak", T.DoubleType()), T.StructField("bad", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
     @F.pandas_udf(result)
-    def judge(text):
-        import pandas as pd
-
+    def judge(text: pd.Series) -> pd.DataFrame:
         pattern = [votes(t) for t in text]
         weak = [posterior.get(p, 0.5) for p in pattern]
-        if scorer is None:
-            bad = weak
-        else:
-            bad = [1 / (1 + np.exp(-max(-50.0, min(50.0, scorer(t))))) for t in text]
-        empty = [not t or not t.strip() for t in text]
-        return pd.DataFrame({"votes": pattern, "weak": weak, "bad": [1.0 if e else b for e, b in zip(empty, bad)]})
+        bad = weak if scorer is None else [1 / (1 + np.exp(-max(-50.0, min(50.0, scorer(t))))) for t in text]
+        bad = [1.0 if not t or not t.strip() else b for t, b in zip(text, bad)]
+        return pd.DataFrame({"votes": pattern, "weak": weak, "bad": bad, "kept": [b < threshold for b in bad]})
 
-    out = docs.withColumn("_judged", judge(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_judged.votes").alias("_votes"), F.col("_judged.weak").alias("_weak"),
-                      F.col("_judged.bad").alias("_bad"), (F.col("_judged.bad") < threshold).alias("_kept"))
+    return docs.withColumn(name, judge(F.col(text_col))), name
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    return classify(docs, id_col, text_col, **kw).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rejected rows."""
+    out, name = classify(docs, id_col, text_col, **kw)
+    return out.where(F.col(f"{name}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Per row: (doc_id, votes, weak_bad, bad, kept)."""
-    out = classify(docs.select(id_col, text_col), id_col, text_col, **kw)
-    return out.select(F.col(id_col).alias("doc_id"), F.col("_votes").alias("votes"), F.round("_weak", 6).alias("weak_bad"), F.round("_bad", 6).alias("bad"), F.col("_kept").alias("kept"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out, name = classify(rows, **kw)
+    return out.select("doc_id", f"{name}.votes", F.round(f"{name}.weak", 6).alias("weak_bad"), F.round(f"{name}.bad", 6).alias("bad"), f"{name}.kept")

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order models over characters are trained from labelled samples that the corpus itself gives: the values that
-the fixed patterns find are random strings, all other text is ordinary.  Counts cover every document; they are two tables of
+the fixed patterns find are random strings, all other text but the runs to be judged is ordinary.  Counts cover every document; they are two tables of
 fixed size.  A run of 20 or more key characters outside the patterns' spans is reported if its log-likelihood ratio favours
 the random model by enough, in total and per character.
 """
@@ -91,7 +91,10 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 kinds.append([s[1] for s in spans])
                 starts.append([s[0] for s in spans])
                 ends.append([s[2] for s in spans])
-                found.append([{"start": i, "end": j, "run": r} for i, j, r in candidates(text, spans)])
+                runs_here = candidates(text, spans)
+                for _, _, run in runs_here:  # unlabelled, so neither model learns from them
+                    ordinary -= transitions(run)
+                found.append([{"start": i, "end": j, "run": run} for i, j, run in runs_here])
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())),
                                               pa.array(found, runs), pa.nulls(n, pa.list_(pa.int64()))], schema.names)
@@ -109,7 +112,8 @@ def ratios(counts: np.ndarray) -> np.ndarray:
     flat = tables[0].sum(0) + PRIOR  # random strings have no memory: rows back off to the characters' own shares
     rare = (flat / flat.sum() + 1 / (K - 1)) / 2
     random = (tables[0] + 50 * rare) / (tables[0].sum(1, keepdims=True) + 50)
-    ordinary = (tables[1] + PRIOR) / (tables[1].sum(1, keepdims=True) + PRIOR * (K - 1))
+    common = tables[1].sum(0) + PRIOR / (K - 1)  # ordinary characters that hardly ever come first back off likewise
+    ordinary = (tables[1] + 5 * common / common.sum() + 1e-3) / (tables[1].sum(1, keepdims=True) + 5 + 1e-3 * (K - 1))
     return np.log(random) - np.log(ordinary)
 
 
