@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Text handled at a time, words of one recursive query, and cached segments: all bound memory only.
-TEXT_CHARS, QUERY_BYTES, CACHED = 2_000_000, 600_000, 300_000
+#: Text handled at a time, bytes of one recursive query, cached segments and cached pieces: all bound memory only.
+TEXT_CHARS, QUERY_BYTES, CACHED, PIECES_CACHED = 2_000_000, 600_000, 250_000, 1_000_000
 #: Words longer than this contract all occurrences of their least pair in a round where that is the same.
 LONG = 63
 
@@ -31,25 +31,27 @@ LONG = 63
 CUT = regex.compile(r"(?<=\S) (?=\S)")
 _ODD_BLANKS = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c) or c.isspace()).replace(" ", "").replace("\n", "")
 
-# A row's key is word * 64 + position; the first of the two rows of the contracted pair takes the new token.
+# A row's key is word * 64 + position; the first of the two rows of the contracted pair takes the new token.  A word
+# without a pair left is put out once more, marked as ended, and then drops out of the recursion.
 ROUND = """
-WITH RECURSIVE enc(k, tok, it) AS (
-    SELECT k, tok, 0 FROM base
+WITH RECURSIVE enc(k, tok, ended) AS (
+    SELECT k, tok, false FROM base
     UNION ALL
-    SELECT e.k - (e.k > h.hit)::BIGINT, CASE WHEN e.k = h.hit THEN h.best ELSE e.tok END, it + 1
-    FROM enc e JOIN (
+    SELECT CASE WHEN e.k > h.hit THEN e.k - 1 ELSE e.k END, CASE WHEN e.k = h.hit THEN h.best ELSE e.tok END, h.hit IS NULL
+    FROM (SELECT * FROM enc WHERE NOT ended) e LEFT JOIN (
         SELECT word, least // 64 AS best, word * 64 + least % 64 AS hit
         FROM (
             SELECT l.k // 64 AS word, min(m.new * 64 + l.k % 64) AS least
             FROM enc l JOIN enc r ON r.k = l.k + 1 JOIN pairs m ON m.ab = l.tok * 65536 + r.tok
+            WHERE NOT l.ended AND NOT r.ended
             GROUP BY l.k // 64
         )
     ) h ON h.word = e.k // 64
-    WHERE e.k <> h.hit + 1
+    WHERE h.hit IS NULL OR e.k <> h.hit + 1
 )"""
-ENDS = """, ends AS (SELECT k // 64 AS word, max(it) AS it FROM enc GROUP BY k // 64)
-SELECT ends.word, string_agg(v.idhex, ' ' ORDER BY k)
-FROM enc JOIN ends ON ends.word = enc.k // 64 AND ends.it = enc.it JOIN vocabulary v ON v.id = tok GROUP BY ends.word"""
+ENDS = """
+SELECT k // 64, string_agg(v.idhex, ' ' ORDER BY k)
+FROM enc JOIN vocabulary v ON v.id = tok WHERE ended GROUP BY k // 64"""
 
 #: For long words: all occurrences of the least pair go in a round, or the first one only if the merged token can meet
 #: pairs of lower rank; in a run of overlapping occurrences every second one goes.
@@ -101,6 +103,9 @@ class Codec:
         #: Segment -> its ids; and -> its decoded bytes where those differ from its own (for this vocabulary never).
         self.cache: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}
+        #: Pieces' results of this and the last generation; a generation ends at half of PIECES_CACHED.
+        self.young: dict[str, tuple[str, bytes] | str] = {}
+        self.old: dict[str, tuple[str, bytes] | str] = {}
 
     # words -> token ids and bytes
 
@@ -197,11 +202,27 @@ class Codec:
             new = list(segments)
         pieces: dict[str, int] = {}
         own = [[pieces.setdefault(p, len(pieces)) for p in self.pattern.findall(s)] for s in new]
-        got = self._words(list(pieces))
+        got = self._known(list(pieces))
         for s, o in zip(new, own):
-            self.cache[s] = " ".join([got[i][0] for i in o])
-            if (raw := b"".join([got[i][1] for i in o])) != s.encode():
-                self.odd[s] = raw
+            self.cache[s] = " ".join([x if isinstance(x := got[i], str) else x[0] for i in o])
+            if any(not isinstance(got[i], str) for i in o):
+                self.odd[s] = b"".join([p.encode() if isinstance(got[i], str) else got[i][1] for p, i in zip(self.pattern.findall(s), o)])
+
+    def _known(self, pieces: list[str]) -> list[tuple[str, bytes] | str]:
+        """Results of pieces: the ids, with the decoded bytes only if those are not the piece's own."""
+        missing = []
+        for p in pieces:
+            if p not in self.young:
+                if (x := self.old.get(p)) is not None:
+                    self.young[p] = x
+                else:
+                    missing.append(p)
+        for p, (ids, raw) in zip(missing, self._words(missing)):
+            self.young[p] = ids if raw == p.encode() else (ids, raw)
+        out = [self.young[p] for p in pieces]
+        if len(self.young) > PIECES_CACHED // 2:
+            self.old, self.young = self.young, {}
+        return out
 
     def encode(self, texts: list[str]):
         """For each text: (decimal ids joined by spaces, the decoded bytes)."""
