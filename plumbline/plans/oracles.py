@@ -266,3 +266,13 @@ SQL["haversine"] = """WITH n AS (SELECT n_nationkey AS k, radians(n_nationkey *
 SQL["bandwidths"] = """WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders) SELECT 'nw94' AS method, floor(4 * pow(n / 100, 2.0 / 9)) AS bandwidth FROM n
     UNION ALL SELECT 'qs', round(1.3221 * pow(n, 0.2), 6) FROM n UNION ALL SELECT 'bartlett', round(1.1447 * pow(n, 1.0 / 3), 6) FROM n UNION ALL SELECT 'parzen', round(2.6614 * pow(n, 0.2), 6) FROM n"""
 SQL["multiplier_draws"] = f"SELECT b, CAST(sum({sign(5, 's_suppkey', 'b')}) AS DOUBLE) AS total FROM supplier CROSS JOIN range(10) r(b) GROUP BY b"
+
+# dependence in time and space
+SQL["time_kernel"] = f"""WITH r AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT t FROM ({PANEL})))
+    SELECT a.t AS s, b.t AS t, {rnd('1 - abs(a.r - b.r) / 3.0')} AS k FROM r a JOIN r b ON abs(a.r - b.r) < 3"""
+_places = "p AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier)"
+SQL["space_kernel"] = f"""WITH {_places}, d AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a CROSS JOIN p b)
+    SELECT a, b, {rnd('1 - d / 5.0')} AS k FROM d WHERE d < 5.0"""
+SQL["space_cluster_multipliers"] = f"""WITH RECURSIVE {_places}, e AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0),
+    reach(u, v) AS (SELECT id, id FROM p UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v), c AS (SELECT u, min(v) AS component FROM reach GROUP BY u)
+    SELECT b, CAST(sum({sign(6, 'component', 'b')}) AS DOUBLE) AS total FROM c CROSS JOIN range(10) r(b) GROUP BY b"""

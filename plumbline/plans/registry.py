@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import kernels as K
 from plumbline.operators import boot as B
-from plumbline.operators import did, fe, gls, graph, iv, linear, panel, quantile, rct, spatial, synth
+from plumbline.operators import dependent, did, fe, gls, graph, iv, linear, panel, quantile, rct, spatial, synth
 from plumbline.operators.ols import OLS, linear_form
 from plumbline.plans import oracles
 from plumbline.sources.datasets import dataset, table
@@ -599,3 +599,29 @@ def multiplier_draws(spark, sf_dir):
     d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(9))))
     return d.groupBy("b").agg(F.sum(B.draws.multiplier("rademacher", 5, F.col("key"), F.col("b"))).alias("total")).select(F.col("b").cast("long").alias("b"), "total")
 
+
+
+# dependence in time and space
+
+
+@query
+def time_kernel(spark, sf_dir):
+    return dependent.time_kernel(dataset(spark, sf_dir, "panel"), "t", 3.0).select("s", "t", r("k").alias("k"))
+
+
+@query
+def space_kernel(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return dependent.space_kernel(d, 5.0).select("a", "b", r("k").alias("k"))
+
+
+@query
+def time_multipliers(spark, sf_dir):
+    return dependent.time_multipliers(dataset(spark, sf_dir, "monthly"), "t", 19)
+
+
+@query
+def space_cluster_multipliers(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    out = dependent.space_cluster_multipliers(d, 10, 2.0, seed=6)
+    return out.groupBy("b").agg(F.sum("w").alias("total")).select(F.col("b").cast("long").alias("b"), "total")
