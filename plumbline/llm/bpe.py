@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text handled at a time, bytes of one recursive query, cached segments and cached pieces: all bound memory only.
-TEXT_CHARS, QUERY_BYTES, CACHED, PIECES_CACHED = 2_000_000, 600_000, 250_000, 1_000_000
+TEXT_CHARS, QUERY_BYTES, CACHED, PIECES_CACHED = 2_000_000, 600_000, 100_000, 500_000
 #: Words longer than this contract all occurrences of their least pair in a round where that is the same.
 LONG = 63
 

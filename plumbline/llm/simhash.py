@@ -85,7 +85,8 @@ def _children(spark: SparkSession, masks: list[int], width: int, bits: int) -> D
 def links(fps: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints in ``fps`` (fp) at ``bits`` or fewer differing bits."""
     spark = fps.sparkSession
-    fps = fps.select("fp").distinct()
+    # Few bytes, but 56 postings a row follow: spread them whatever their size.
+    fps = fps.select("fp").repartition(C.parallelism(spark), "fp").distinct()
     masks = _level0(bits)
     table = F.array(*[F.lit(_signed(m)) for m in masks])
     posted = fps.select("fp", F.explode(table).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
