@@ -25,8 +25,8 @@ GOOD, BAD, NONE = 1, 0, 2
 #: Rows of each predicted class that the scorer is fitted on, and its number of hashed features.
 SAMPLE = 1500
 FEATURES = 4096
-#: Rejected at this probability of being bad and above.
-THRESHOLD = 0.5
+#: Rejected at this probability of being bad and above: classes weigh alike in the fit, so very short texts lie near a half.
+THRESHOLD = 0.55
 #: Weight of the prior on the labellers' votes, as a share of the corpus.
 PRIOR = 0.05
 #: At most this share of good documents, and at least that of bad ones, gets any one labeller's bad vote.
