@@ -2,9 +2,10 @@
 
 The mix is a line of slots, each one block of ``block`` words.  Slot k's golden-ratio point frac(k * phi) is mapped
 through the sources' cumulative targets, slots are ranked within their source, and the r-th slot of a source takes the
-r-th block of that source's documents laid end to end in hash order (a second lap follows the first).  The slots of a
-source are ranked in bins of slot numbers and documents are laid out by range partitions, so no source, however large,
-meets in one task.
+r-th block of that source's documents laid end to end in hash order (a second lap follows the first).  Each source ends
+at its target: the last block is cut there, slots beyond are left out, and blocks for which no slot is left, as those of
+sources smaller than a block, go to slots by hash.  The slots of a source are ranked in bins of slot numbers and
+documents are laid out by range partitions, so no source, however large, meets in one task.
 """
 
 from __future__ import annotations
@@ -72,8 +73,16 @@ def lay_out(docs: DataFrame) -> DataFrame:
     return C.cut(C.bounded_rank(d, ["_null", "source", "_mix", "doc_id"], sums={"start": "size"}).drop("_null", "_mix"))
 
 
+def words(target: Column) -> Column:
+    """A source's target in whole words."""
+    return F.round(target).cast("long")
+
+
 def schedule(goals: DataFrame, total: float, block: int) -> DataFrame:
-    """(slot, source, block): which source's which block each slot holds."""
+    """(slot, source, block): which source's which block each slot holds; every block up to the target has one slot.
+
+    A slot may be shared by blocks that the points leave over (a few a source).
+    """
     spark = goals.sparkSession
     slots = int(total // block)
     cells = 4096
@@ -96,7 +105,14 @@ def schedule(goals: DataFrame, total: float, block: int) -> DataFrame:
     inside = Window.partitionBy("source", "bin").orderBy("slot")
     ranked = hit.withColumn("i", F.row_number().over(inside) - 1)
     ranked = ranked.join(starts, (F.struct(ranked.source) == starts.of) & (ranked.bin == starts["in"]))
-    return ranked.select("slot", "source", (F.col("before") + F.col("i")).alias("block"))
+    ranked = ranked.select("slot", "source", (F.col("before") + F.col("i")).alias("block"))
+    # What the points leave over of each target.
+    given = held.groupBy("source").agg(F.sum("n").alias("n")).select(F.struct("source").alias("of"), "n")
+    need = goals.select("source", F.ceil(words(F.col("target")) / block).alias("need"))
+    left = need.join(given, F.struct(need.source) == given.of, "left").withColumn("n", F.coalesce("n", F.lit(0))).where("need > n")
+    left = left.select("source", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("block"))
+    left = left.select(F.pmod(F.xxhash64("source", "block"), F.lit(max(1, slots))).alias("slot"), "source", "block")
+    return ranked.unionByName(left)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -122,10 +138,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Each lap of a document, cut at block borders.
     lap = d.where("size > 0").withColumn("lap", F.explode(F.array(*[F.lit(i) for i in range(laps)])))
     lap = lap.withColumn("from", F.col("start") + F.col("lap") * F.col("source_size"))
-    lap = lap.withColumn("to", F.col("from") + F.col("size"))
+    lap = lap.withColumn("to", F.least(F.col("from") + F.col("size"), words(F.col("target")))).where("from < to")
     lap = lap.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
-    words = F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)
-    parts = lap.select(F.struct("source").alias("of"), F.col("block").alias("at"), "row", "doc_id", "lap", words.cast("long").alias("words"))
+    held = F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)
+    parts = lap.select(F.struct("source").alias("of"), F.col("block").alias("at"), "row", "doc_id", "lap", held.cast("long").alias("words"))
     slots = schedule(goals, total, block) if total else docs.sparkSession.range(0).select(
         F.col("id").alias("slot"), F.lit("").alias("source"), F.col("id").alias("block"))
     pieces = slots.join(parts, (F.struct(slots.source) == parts.of) & (slots.block == parts["at"]))
@@ -144,8 +160,8 @@ def taken(docs: DataFrame, **kw) -> DataFrame:
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` as the mix holds them: a row for each lap that takes half of its words or more.
 
-    Only the document at the end of a source's last lap is ever taken in part, so rounding moves one document a
-    source.  Needs distinct ids (rows that repeat an id are repeated by the sum of their laps).
+    Only the document at the source's target is ever taken in part, so rounding moves one document a source.
+    Needs distinct ids (rows that repeat an id are repeated by the sum of their laps).
     """
     _, pieces = mix(docs, id_col, text_col, **kw)
     laps = C.cut(pieces.groupBy("row", F.col("doc_id").alias("_id"), "lap").agg(F.sum("words").alias("words")))

@@ -201,6 +201,16 @@ def test_mix(docs):
     assert left.columns == docs.columns and left.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_mix_meets_small_targets(spark):
+    data = [(100 * s + i, "w " * n, f"s{s}") for s in range(30) for i, n in enumerate([3000, 5000] if s < 3 else [s, 7, 40])]
+    got = mixing.taken(spark.createDataFrame(data, "doc_id long, text string, source string"), block=256).toPandas()
+    assert (got.taken <= 2 * got["size"]).all()
+    for s, g in got.groupby(got.doc_id // 100):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5, (s, g.taken.sum(), g.target.iloc[0])
+    left = mixing.repeat_documents(spark.createDataFrame(data, "doc_id long, text string, source string"), block=256)
+    assert left.select("source").distinct().count() == 30
+
+
 def test_points_are_spread():
     k = np.arange(1 << 12)
     assert np.abs(np.histogram((k * mixing.PHI) % 1, 16, (0, 1))[0] - 256).max() <= 4
