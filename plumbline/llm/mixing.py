@@ -116,14 +116,15 @@ def schedule(goals: DataFrame, total: float, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        share: float = SHARE, laps: int = LAPS, weights=WEIGHTS, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+        share: float = SHARE, laps: int = LAPS, weights=WEIGHTS, block: int | None = None, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix: (documents with source_size, target, start; pieces (slot, source, block, doc_id, lap, words)).
 
     Null text has size 0, null source is a source of its own, ranked last.  A document of no words takes no words.  Rows
-    that repeat an id are laid out one after the other, each for itself.  Empty table: no rows.  Extra columns are not
-    read.
+    that repeat an id are laid out one after the other, each for itself.  ``row`` numbers the rows; ``row_col`` names a
+    column of distinct longs to be used for it.  Empty table: no rows.  Extra columns are not read.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), C.word_count(F.col(text_col)).alias("size"))
+    key = [F.col(row_col).alias("row")] if row_col else []
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), C.word_count(F.col(text_col)).alias("size"), *key)
     d = lay_out(d)
     sources = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sources, share, laps, weights)
@@ -134,7 +135,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = C.bounded_rank(goals.select("source", "source_size", F.col("source").isNull().alias("_null")), ["_null", "source"], sums={"_before": "source_size"})
     g = g.join(before.select(F.col("source").alias("_s2"), "_before"), F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2")
     d = d.join(C.cut(g).hint("merge"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("start", F.col("start") - F.col("_before"))
-    d = C.cut(d.drop("_s", "_before").withColumn("row", F.monotonically_increasing_id()))
+    d = d.drop("_s", "_before")
+    d = C.cut(d if row_col else d.withColumn("row", F.monotonically_increasing_id()))
     # Each lap of a document, cut at block borders.
     lap = d.where("size > 0").withColumn("lap", F.explode(F.array(*[F.lit(i) for i in range(laps)])))
     lap = lap.withColumn("from", F.col("start") + F.col("lap") * F.col("source_size"))
@@ -161,10 +163,14 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` as the mix holds them: a row for each lap that takes half of its words or more.
 
     Only the document at the source's target is ever taken in part, so rounding moves one document a source.
-    Needs distinct ids (rows that repeat an id are repeated by the sum of their laps).
+    Rows are told apart by a number of their own, so rows with null or repeated ids count each for itself.
     """
-    _, pieces = mix(docs, id_col, text_col, **kw)
-    laps = C.cut(pieces.groupBy("row", F.col("doc_id").alias("_id"), "lap").agg(F.sum("words").alias("words")))
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = C.stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    _, pieces = mix(keyed, id_col, text_col, row_col=key, **kw)
+    laps = C.cut(pieces.groupBy(F.col("row").alias("_of"), "lap").agg(F.sum("words").alias("_words")))
     size = C.word_count(F.col(text_col))
-    both = docs.join(laps.hint("merge"), docs[id_col] == laps._id).where(laps.words * 2 >= size)
-    return both.select(*[docs[f"`{c}`"] for c in docs.columns])
+    both = keyed.join(laps.hint("merge"), keyed[key] == laps._of).where(laps._words * 2 >= size)
+    return both.select(*[keyed[f"`{c}`"] for c in docs.columns])

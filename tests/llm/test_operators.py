@@ -201,6 +201,19 @@ def test_mix(docs):
     assert left.columns == docs.columns and left.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_mix_repeats_rows_with_null_and_repeated_ids(docs, spark):
+    left = mixing.repeat_documents(docs).toPandas()
+    data = [r for r in rows() if (r[1] or "").split()]
+    known = {(str(i), t) for i, t, *_ in data}
+    got = [("None" if pd.isna(i) else str(int(i)), t) for i, t in zip(left.doc_id, left.text)]
+    assert set(got) <= known and ("None", rows()[6][1]) in got
+    most = {k: 2 * sum((str(i), t) == k for i, t, *_ in data) for k in known}
+    assert all(got.count(k) <= most[k] for k in known)
+    twins = [(7, "a b c d", "s"), (7, "e f g h", "s"), (None, "i j k l", "s"), (None, "m n o p", "s"), (8, "q " * 400, "t")]
+    left = mixing.repeat_documents(spark.createDataFrame(twins, "doc_id long, text string, source string")).toPandas()
+    assert sorted(left.text[left.source == "s"]) == sorted(2 * [t for _, t, s in twins if s == "s"])
+
+
 def test_mix_meets_small_targets(spark):
     data = [(100 * s + i, "w " * n, f"s{s}") for s in range(30) for i, n in enumerate([3000, 5000] if s < 3 else [s, 7, 40])]
     got = mixing.taken(spark.createDataFrame(data, "doc_id long, text string, source string"), block=256).toPandas()
