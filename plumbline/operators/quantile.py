@@ -160,30 +160,50 @@ def fit_many(y: str, x: Sequence[str], df: DataFrame, taus: Sequence[float], **k
 def ivqr(df: DataFrame, y: str, d: str, x: Sequence[str], z: Sequence[str], tau: float = 0.5, span: float = 4.0, points: int = 61, rounds: int = 4) -> Result:
     """One endogenous regressor: the value whose quantile regression of y - value * d gives the instruments least weight.
 
-    Small samples only (all rows go to the driver); the search narrows a grid around the two-stage least squares value.
+    The search narrows a grid around the two-stage least squares value.  Up to NEAR rows each grid point is solved on the
+    driver, beyond by QR's rounds over all rows, started from its least squares.
     """
     from plumbline.operators.iv import IV
 
     first = IV(y, [d], list(x), list(z), df).fit()
-    rows = np.array(df.where(L.finite([y, d, *x, *z])).select(y, d, *x, *z).limit(NEAR + 1).collect(), float)
-    if len(rows) > NEAR:
-        raise ValueError(f"inverse quantile regression takes {NEAR} rows at most")
-    yy, dd, xx = rows[:, 0], rows[:, 1], np.column_stack([rows[:, 2:], np.ones(len(rows))])
-    m = len(z)
-    at = slice(len(x), len(x) + m)
-    zz = rows[:, 2 + len(x):]
-    norm = np.linalg.inv(zz.T @ zz / len(rows))
-    centre = first.params[d]
-    width = span * max(float(np.std(yy - centre * dd) / np.std(dd)), 1e-6)
-
-    def weight(a):
-        g = solve_lp(xx, yy - a * dd, tau)[at]
-        return float(g @ np.linalg.inv(norm) @ g)
-
-    for _ in range(rounds):
-        grid = np.linspace(centre - width, centre + width, points)
-        centre = float(grid[int(np.argmin([weight(a) for a in grid]))])
-        width *= 3.0 / points
-    b = solve_lp(xx, yy - centre * dd, tau)
-    names = [d, *x, "_cons"]
-    return Result(df.sparkSession, dict(zip(names, [centre, *b[: len(x)], b[-1]])), n_obs=len(rows), diagnostics={"weight_of_instruments": weight(centre)})
+    cols = [*x, *z, "_cons"]
+    used = list(dict.fromkeys([y, d, *x, *z]))
+    data = df.where(L.finite([y, d, *x, *z])).select(*[F.col(c).cast("double").alias(c) for c in used], F.lit(1.0).alias("_cons")).persist()
+    try:
+        g, n = L.gram(data, list(z))
+        norm = g / n
+        centre = first.params[d]
+        sd, sd_d = data.agg(F.stddev_pop(F.col(y) - F.lit(float(centre)) * F.col(d)), F.stddev_pop(d)).first()
+        width = span * max(sd / sd_d, 1e-6)
+        at = slice(len(x), len(x) + len(z))
+        if n <= NEAR:
+            rows = np.array(data.select(y, d, *cols).collect(), float)
+
+            def solve(a):
+                return solve_lp(rows[:, 2:], rows[:, 0] - a * rows[:, 1], tau)
+        else:
+            h, _ = L.gram(data, [*cols, y, d])
+            k = len(cols)
+
+            def solve(a):
+                q = np.vstack([np.eye(k + 1), np.eye(k + 1)[-1] * 0])
+                q[-1, -1] = -a
+                m = q.T @ h @ q  # the cross-products with y - a * d
+                ls = L.solve(m[:-1, :-1], m[:-1, -1])
+                spread = 10 * float(np.sqrt(max(m[-1, -1] - ls @ m[:-1, -1], 1e-12) / n))
+                at_a = data.withColumn("_y", F.col(y) - F.lit(float(a)) * F.col(d))
+                return QR("_y", cols, at_a, tau)._solve(at_a, cols, n, ls, spread)
+
+        def weight(a):
+            w = solve(a)[at]
+            return float(w @ norm @ w)
+
+        for _ in range(rounds):
+            grid = np.linspace(centre - width, centre + width, points)
+            centre = float(grid[int(np.argmin([weight(a) for a in grid]))])
+            width *= 3.0 / points
+        b = solve(centre)
+        names = [d, *x, "_cons"]
+        return Result(df.sparkSession, dict(zip(names, [centre, *b[: len(x)], b[-1]])), n_obs=n, diagnostics={"weight_of_instruments": float(b[at] @ norm @ b[at])})
+    finally:
+        data.unpersist()

@@ -566,8 +566,7 @@ def qr_median(spark, sf_dir):
 
 @query
 def ivqr_small(spark, sf_dir):
-    d = dataset(spark, sf_dir, "ivset").where("cluster <= 10")
-    return quantile.ivqr(d, "y", "x", ["w"], ["z1"], points=21, rounds=3).coef()
+    return quantile.ivqr(dataset(spark, sf_dir, "ivset"), "y", "x", ["w"], ["z1"], points=21, rounds=3).coef()
 
 
 # scalar functions
