@@ -77,6 +77,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.by_id = {str(r): b for b, r in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.inner = np.zeros((256, 256), bool)  # byte pairs that some token holds
@@ -102,7 +103,6 @@ class Codec:
         self.db.execute("ALTER TABLE vocabulary ADD COLUMN idhex VARCHAR; UPDATE vocabulary SET idhex = id::VARCHAR || ' ' || hex")
         #: Segment -> its ids; and -> its decoded bytes where those differ from its own (for this vocabulary never).
         self.cache: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}
         #: Pieces' results of this and the last generation; a generation ends at half of PIECES_CACHED.
         self.young: dict[str, tuple[str, bytes] | str] = {}
         self.old: dict[str, tuple[str, bytes] | str] = {}
@@ -198,15 +198,12 @@ class Codec:
         new = [s for s in segments if s not in self.cache]
         if len(self.cache) + len(new) > CACHED:
             self.cache.clear()
-            self.odd.clear()
             new = list(segments)
         pieces: dict[str, int] = {}
         own = [[pieces.setdefault(p, len(pieces)) for p in self.pattern.findall(s)] for s in new]
         got = self._known(list(pieces))
         for s, o in zip(new, own):
             self.cache[s] = " ".join([x if isinstance(x := got[i], str) else x[0] for i in o])
-            if any(not isinstance(got[i], str) for i in o):
-                self.odd[s] = b"".join([p.encode() if isinstance(got[i], str) else got[i][1] for p, i in zip(self.pattern.findall(s), o)])
 
     def _known(self, pieces: list[str]) -> list[tuple[str, bytes] | str]:
         """Results of pieces: the ids, with the decoded bytes only if those are not the piece's own."""
@@ -238,10 +235,7 @@ class Codec:
         self.learn(need)
         for parts in split:
             ids = " ".join(map(self.cache.__getitem__, parts))
-            if self.odd:
-                yield ids, b"".join([self.odd.get(s) or s.encode() for s in parts])
-            else:
-                yield ids, "".join(parts).encode()
+            yield ids, b"".join(map(self.by_id.__getitem__, ids.split()))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

@@ -34,6 +34,14 @@ def test_byte_bpe_equals_library():
     assert bpe.decode(lib.encode_ordinary("naïve 日本 x"), path).decode() == "naïve 日本 x"
 
 
+def test_byte_bpe_decodes_ids():
+    c = bpe.Codec(P.path(bpe.VOCABULARY), P.PATTERN)
+    (ids, raw), = c.encode(["some words"])
+    assert raw == b"some words" == bpe.decode(list(map(int, ids.split())), P.path(bpe.VOCABULARY))
+    c.cache["some"] = " ".join(next(c.encode(["other"]))[0].split())
+    assert next(c.encode(["some words"]))[1] == b"other words"  # a wrong id shows
+
+
 def test_byte_bpe_small_caches(monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 20)
     monkeypatch.setattr(bpe, "PIECES_CACHED", 20)
