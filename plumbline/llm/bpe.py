@@ -1,10 +1,16 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries, one database per Python worker.
 
-A text is cut into segments where no pattern match can cross (before a single space between two other characters), each
-new segment into pattern matches, and the distinct new matches of a batch become token-position rows.  A recursive
-query joins neighbouring rows with the merge table and contracts every word's leftmost pair of least rank until none is
-left; ordered aggregation gives ids and, joined with the vocabulary, the decoded bytes.  Results of segments are kept in
-a bounded cache, which only saves time.
+A text is cut into pattern matches; the distinct matches of a batch that are not at hand become token-position rows.  A
+recursive query joins neighbouring rows with the merge table and contracts the leftmost pair of least rank until none is
+left; ordered aggregation gives ids.  Every text's ids are decoded by an ordered aggregation of the vocabulary's bytes.
+Results of matches are kept in a bounded cache, which only saves time.
+
+Rows are keyed by byte offset, and offsets fall into blocks.  A word of up to one block contracts as such.  In a longer
+word many pairs go in one round: those whose rank is the least of their own and both neighbouring blocks, blocks being
+twice as long as the longest token that the word holds.  Whatever could reach such a pair first would have to start from
+a pair of lower rank as near as that, so the order among them is free, but for three cases: overlapping pairs of one
+rank go by every second one from the left; a run of those waits for its left end; and where the new token would at once
+form a pair of lower rank still (``trig``), only the leftmost pair of the three blocks goes.
 """
 
 from __future__ import annotations
@@ -22,191 +28,152 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Text handled at a time, bytes of one recursive query, cached segments and cached pieces: all bound memory only.
-TEXT_CHARS, QUERY_BYTES, CACHED, PIECES_CACHED = 2_000_000, 600_000, 100_000, 500_000
-#: Words longer than this contract all occurrences of their least pair in a round where that is the same.
-LONG = 63
+#: Text handled at a time, bytes and rows of one recursive query, cached matches: all bound memory only.
+TEXT_CHARS, QUERY_BYTES, QUERY_ROWS, CACHED = 2_000_000, 600_000, 12_000_000, 400_000
+#: Blocks of words that fit in one have this many bits of offset.
+BLOCK_BITS = 6
 
-# A cut: one space, neither after nor before white space.
-CUT = regex.compile(r"(?<=\S) (?=\S)")
-_ODD_BLANKS = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c) or c.isspace()).replace(" ", "").replace("\n", "")
+#: The least rank of a block and its neighbours; a word within one block has none.
+LEAST = {True: "min(least) OVER (ORDER BY b RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)", False: "least"}
 
-# A row's key is word * 64 + position; the first of the two rows of the contracted pair takes the new token.  A word
-# without a pair left is put out once more, marked as ended, and then drops out of the recursion.
+# One recursion; a word without a pair left is put out once more, marked as ended, and then drops out of it.
 ROUND = """
-WITH RECURSIVE enc(k, tok, ended) AS (
-    SELECT k, tok, false FROM base
+WITH RECURSIVE enc(w, k, tok, len, ended, round) AS (
+    SELECT w, k, tok, len, false, 0 FROM base
     UNION ALL
-    SELECT CASE WHEN e.k > h.hit THEN e.k - 1 ELSE e.k END, CASE WHEN e.k = h.hit THEN h.best ELSE e.tok END, h.hit IS NULL
-    FROM (SELECT * FROM enc WHERE NOT ended) e LEFT JOIN (
-        SELECT word, least // 64 AS best, word * 64 + least % 64 AS hit
-        FROM (
-            SELECT l.k // 64 AS word, min(m.new * 64 + l.k % 64) AS least
-            FROM enc l JOIN enc r ON r.k = l.k + 1 JOIN pairs m ON m.ab = l.tok * 65536 + r.tok
-            WHERE NOT l.ended AND NOT r.ended
-            GROUP BY l.k // 64
-        )
-    ) h ON h.word = e.k // 64
-    WHERE h.hit IS NULL OR e.k <> h.hit + 1
+    (WITH live AS (SELECT w, k, tok, len, round FROM enc WHERE NOT ended AND round < {rounds}),
+    p AS MATERIALIZED (
+        SELECT l.w, l.k, r.k AS mid, r.k + r.len AS fin, m.new, m.loose
+        FROM live l JOIN live r ON r.k = l.k + l.len JOIN pairs m ON m.ab = l.tok::BIGINT * 65536 + r.tok
+    ),
+    blocks AS (
+        SELECT b, {least} AS least
+        FROM (SELECT k >> {bits} AS b, min(new) AS least FROM p GROUP BY ALL)
+    ),
+    hits AS MATERIALIZED (SELECT p.* FROM p JOIN blocks ON b = p.k >> {bits} AND least = new),
+    after AS MATERIALIZED (  -- hits whose first token is the last one of a pair of the same rank, itself a hit or not
+        SELECT h.k, q.k AS prev, g.k IS NOT NULL AS settled FROM hits h JOIN p q ON q.mid = h.k AND q.new = h.new LEFT JOIN hits g ON g.k = q.k
+    ),
+    runs AS (
+        SELECT h.k, settled, max(CASE WHEN a.k IS NULL OR NOT settled THEN h.k END) OVER (ORDER BY h.k ROWS UNBOUNDED PRECEDING) AS run
+        FROM hits h LEFT JOIN after a ON a.k = h.k WHERE a.k IS NOT NULL OR h.k IN (SELECT prev FROM after)
+    ),
+    ranked AS (SELECT k, row_number() OVER (PARTITION BY run ORDER BY k) AS i, min(settled) OVER (PARTITION BY run) IS DISTINCT FROM false AS go FROM runs),
+    trig AS MATERIALIZED (
+        SELECT h.k FROM hits h JOIN live x ON x.k + x.len = h.k JOIN pairs m ON m.ab = x.tok::BIGINT * 65536 + h.new WHERE h.loose AND m.new < h.new
+        UNION SELECT h.k FROM hits h JOIN live x ON x.k = h.fin JOIN pairs m ON m.ab = h.new::BIGINT * 65536 + x.tok WHERE h.loose AND m.new < h.new
+        UNION SELECT h.k FROM hits h JOIN pairs m ON m.ab = h.new::BIGINT * 65537 WHERE h.loose AND m.new < h.new
+    ),
+    careful AS MATERIALIZED (SELECT DISTINCT (k >> {bits}) + unnest([-1, 0, 1]) AS b FROM trig),
+    later AS (  -- of hits near such a one, all but the leftmost wait
+        SELECT h.k FROM hits h JOIN careful c ON c.b = h.k >> {bits} JOIN (SELECT k >> {bits} AS b, min(k) AS k FROM hits GROUP BY ALL) f
+        ON f.b BETWEEN (h.k >> {bits}) - 1 AND (h.k >> {bits}) AND f.k < h.k
+    ),
+    chosen AS MATERIALIZED (
+        SELECT k, mid, fin, new FROM hits
+        WHERE k NOT IN (SELECT k FROM later) AND (k NOT IN (SELECT k FROM after) OR k IN (SELECT k FROM ranked WHERE i % 2 = 1 AND go))
+    )
+    SELECT e.w, e.k, coalesce(c.new, e.tok), coalesce(c.fin - e.k, e.len), o.w IS NULL, e.round + 1
+    FROM live e LEFT JOIN (SELECT k, new, fin FROM chosen UNION ALL SELECT mid, -1, 0 FROM chosen) c ON c.k = e.k
+    LEFT JOIN (SELECT DISTINCT w FROM p) o ON o.w = e.w
+    WHERE c.new IS DISTINCT FROM -1)
 )"""
-ENDS = """
-SELECT k // 64, string_agg(v.idhex, ' ' ORDER BY k)
-FROM enc JOIN vocabulary v ON v.id = tok WHERE ended GROUP BY k // 64"""
-
-#: For long words: all occurrences of the least pair go in a round, or the first one only if the merged token can meet
-#: pairs of lower rank; in a run of overlapping occurrences every second one goes.
-ROUND_LONG = """
-WITH pairs AS (
-    SELECT l.word, l.pos, m.new, m.safe, l.tok = r.tok AS twin
-    FROM state l JOIN state r ON r.word = l.word AND r.pos = l.pos + 1
-    JOIN merges m ON m.a = l.tok AND m.b = r.tok
-), best AS (SELECT word, min(new) AS new, arg_min(pos, new::BIGINT * 4294967296 + pos) AS first FROM pairs GROUP BY word),
-hits AS (
-    SELECT p.word, p.pos, p.new, p.twin, p.pos - row_number() OVER (PARTITION BY p.word ORDER BY p.pos) AS run
-    FROM pairs p JOIN best b ON p.word = b.word AND p.new = b.new AND (p.safe OR p.pos = b.first)
-), gone AS (
-    SELECT word, pos, new FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS i FROM hits)
-    WHERE NOT twin OR i % 2 = 1
-)
-SELECT s.word, row_number() OVER (PARTITION BY s.word ORDER BY s.pos)::INT AS pos, coalesce(g.new, s.tok) AS tok
-FROM state s LEFT JOIN gone g ON g.word = s.word AND g.pos = s.pos
-LEFT JOIN gone d ON d.word = s.word AND d.pos = s.pos - 1 WHERE d.word IS NULL"""
 
 
 class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.by_id = {str(r): b for b, r in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.begins = {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.inner = np.zeros((256, 256), bool)  # byte pairs that some token holds
-        a, b, new, unsafe = [], [], [], set()
+        known, merges = self.ranks.get, []
         for t, r in self.ranks.items():
             for i in range(1, len(t)):
-                self.inner[t[i - 1], t[i]] = True
-                u, v = self.ranks.get(t[:i]), self.ranks.get(t[i:])
+                u, v = known(t[:i]), known(t[i:])
                 if u is not None and v is not None:
-                    a.append(u)
-                    b.append(v)
-                    new.append(r)
-                    unsafe.update(x for x in (u, v) if r < x)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        i32 = pa.int32()
-        merges = pa.table({"a": pa.array(a, i32), "b": pa.array(b, i32), "new": pa.array(new, i32), "safe": pa.array([x not in unsafe for x in new])})
-        vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), i32), "hex": [t.hex() for t in self.ranks]})
-        for name, t in (("merges", merges), ("vocabulary", vocabulary)):
-            self.db.register("_t", t)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM _t")
-            self.db.unregister("_t")
-        self.db.execute("CREATE TABLE pairs AS SELECT a::BIGINT * 65536 + b AS ab, new::BIGINT AS new FROM merges")
-        self.db.execute("ALTER TABLE vocabulary ADD COLUMN idhex VARCHAR; UPDATE vocabulary SET idhex = id::VARCHAR || ' ' || hex")
-        #: Segment -> its ids; and -> its decoded bytes where those differ from its own (for this vocabulary never).
-        self.cache: dict[str, str] = {}
-        #: Pieces' results of this and the last generation; a generation ends at half of PIECES_CACHED.
-        self.young: dict[str, tuple[str, bytes] | str] = {}
-        self.old: dict[str, tuple[str, bytes] | str] = {}
-
-    # words -> token ids and bytes
-
-    def _base(self, words: list[bytes]) -> pa.Table:
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.repeat(np.cumsum(size) - size, size)
-        return pa.table({
-            "word": np.repeat(np.arange(len(words), dtype=np.int32), size),
-            "pos": (np.arange(len(flat)) - start + 1).astype(np.int32),
-            "tok": self.byte_ids[flat],
-        })
-
-    def _merge(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        out: list = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        at = 0
-        while at < len(short):
-            end, held = at, 0
-            while end < len(short) and held < QUERY_BYTES:
-                held += len(words[short[end]])
-                end += 1
-            part = short[at:end]
-            rows = self._base([words[i] for i in part])
-            keys = rows["word"].to_numpy().astype(np.int64) * 64 + rows["pos"].to_numpy() - 1
-            self.db.register("base", pa.table({"k": keys, "tok": rows["tok"].to_numpy().astype(np.int64)}))
-            for w, both in self.db.execute(ROUND + ENDS).fetchall():
-                both = both.split(" ")
-                out[part[w]] = (" ".join(both[::2]), bytes.fromhex("".join(both[1::2])))
-            self.db.unregister("base")
-            at = end
+                    merges.append((u, v, r, t, i))
+        loose = {m for u, v, r, t, i in merges for m in self._loose(u, v, r, t, i)}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        pairs = pa.table({"ab": np.array([u * 65536 + v for u, v, *_ in merges]), "new": np.array([m[2] for m in merges], np.int32), "loose": [m[:2] in loose for m in merges]})
+        vocabulary = pa.table({"id": np.array(list(self.ranks.values()), np.int32), "hex": [t.hex() for t in self.ranks]})
+        for name, t in (("pairs", pairs), ("vocabulary", vocabulary)):
+            self._table(name, t)
+        #: Matches' ids of this and the last generation; a generation ends at half of CACHED.
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+
+    def _table(self, name: str, t: pa.Table) -> None:
+        self.db.register("_t", t)
+        self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM _t")
+        self.db.unregister("_t")
+
+    def _loose(self, u: int, v: int, r: int, t: bytes, i: int):
+        """Merges into a token that may at once merge on, with a neighbour, at lower rank ``r``."""
+        known = self.ranks.get
+        for whole, other, before in ((t[i:], t[:i], True), (t[:i], t[i:], False)):
+            rank = known(whole)
+            if r >= rank:
+                continue
+            for j in range(1, len(whole)):
+                y, z = whole[:j], whole[j:]
+                if y in self.ranks and z in self.ranks:  # if the neighbour merges with the near half first, it never comes to this
+                    if known(other + y if before else z + other, rank) >= rank:
+                        yield known(y), known(z)
+
+    # words -> token ids
+
+    def _block_bits(self, word: bytes) -> int:
+        if len(word) <= 1 << BLOCK_BITS:
+            return BLOCK_BITS
+        longest, begins = 1, self.begins
+        for i in range(len(word)):
+            while word[i : i + longest + 1] in begins and i + longest < len(word):
+                longest += 1
+        return max(4, (2 * longest - 1).bit_length())
+
+    def _base(self, words: list[bytes], bits: int) -> pa.Table:
+        """Token-position rows; a word starts a block and leaves one free behind it; one that is a token is so at once."""
+        whole = [self.ranks.get(w) for w in words]
+        size = np.fromiter((len(w) if r is None else 1 for w, r in zip(words, whole)), np.int64, len(words))
+        taken = np.fromiter((-(-len(w) >> bits) + 1 << bits for w in words), np.int64, len(words))
+        first = np.repeat(np.cumsum(taken) - taken, size)
+        inside = np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
+        flat = np.frombuffer(b"".join(w if r is None else b"?" for w, r in zip(words, whole)), np.uint8)
+        tok, length = self.byte_ids[flat], np.ones(len(flat), np.int32)
+        at = np.flatnonzero([r is not None for r in whole])
+        rows = (np.cumsum(size) - size)[at]
+        tok[rows], length[rows] = [whole[i] for i in at], [len(words[i]) for i in at]
+        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "k": first + inside, "tok": tok, "len": length})
+
+    def _merge(self, words: list[bytes]) -> list[str]:
+        """The ids of each word, joined by spaces."""
+        out = [""] * len(words)
+        by_bits: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self._merge_long(w)
+            by_bits.setdefault(self._block_bits(w), []).append(i)
+        for bits, own in by_bits.items():
+            at = 0
+            while at < len(own):
+                end, held = at, 0
+                while end < len(own) and held < QUERY_BYTES:
+                    held += len(words[own[end]])
+                    end += 1
+                part, at = own[at:end], end
+                self._table("base", self._base([words[i] for i in part], bits))
+                rounds = max(4, QUERY_ROWS // max(1, held))
+                while True:  # a query holds the rows of all its rounds: very long words go on in a further one
+                    query = ROUND.format(bits=bits, rounds=rounds, least=LEAST[any(len(words[i]) > 1 << bits for i in part)])
+                    self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {query} SELECT w, k, tok, len, ended FROM enc WHERE ended OR round = {rounds}")
+                    for w, ids in self.db.execute("SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY k) FROM done WHERE ended GROUP BY w").fetchall():
+                        out[part[w]] = ids
+                    self.db.execute("CREATE OR REPLACE TEMP TABLE base AS SELECT w, k, tok, len FROM done WHERE NOT ended")
+                    if not self.db.execute("SELECT count(*) FROM base").fetchall()[0][0]:
+                        break
         return out
 
-    def _merge_long(self, word: bytes) -> tuple[str, bytes]:
-        self.db.register("base", self._base([word]))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT * FROM base")
-        self.db.unregister("base")
-        n, before = len(word), -1
-        while n != before:
-            before = n
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE later AS {ROUND_LONG}")
-            self.db.execute("DROP TABLE state; ALTER TABLE later RENAME TO state")
-            n = self.db.execute("SELECT count(*) FROM state").fetchall()[0][0]
-        ids, hexed = self.db.execute(
-            "SELECT string_agg(tok::VARCHAR, ' ' ORDER BY pos), string_agg(v.hex, '' ORDER BY pos)"
-            " FROM state JOIN vocabulary v ON v.id = tok").fetchall()[0]
-        return ids, bytes.fromhex(hexed)
-
-    def _words(self, pieces: list[str]) -> list[tuple[str, bytes]]:
-        """A piece that is a token is that token; others are cut where no token spans the cut, and merged."""
-        parts: list = []
-        unknown: dict[bytes, int] = {}
-        for p in pieces:
-            raw = p.encode()
-            if (r := self.ranks.get(raw)) is not None:
-                parts.append((str(r), raw))
-                continue
-            if len(raw) <= LONG:
-                parts.append(unknown.setdefault(raw, len(unknown)))
-                continue
-            x = np.frombuffer(raw, np.uint8)
-            cuts = np.flatnonzero(~self.inner[x[:-1], x[1:]]) + 1
-            own = []
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(raw)]):
-                own.append(unknown.setdefault(raw[i:j], len(unknown)))
-            parts.append(own)
-        merged = self._merge(list(unknown)) if unknown else []
-
-        def whole(own):
-            if isinstance(own, int):
-                return merged[own]
-            if isinstance(own, tuple):
-                return own
-            got = [merged[i] for i in own]
-            return " ".join([g[0] for g in got]), b"".join([g[1] for g in got])
-
-        return [whole(x) for x in parts]
-
-    def segments(self, text: str) -> list[str]:
-        """Pieces of text that the pattern splits alike alone and in their place; all but the first lost a leading space."""
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _ODD_BLANKS):
-            return CUT.split(text)
-        return text.split(" ")
-
-    def learn(self, segments: set[str]) -> None:
-        """Encode the segments (with their leading space, if any) that the cache lacks."""
-        new = [s for s in segments if s not in self.cache]
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = list(segments)
-        pieces: dict[str, int] = {}
-        own = [[pieces.setdefault(p, len(pieces)) for p in self.pattern.findall(s)] for s in new]
-        got = self._known(list(pieces))
-        for s, o in zip(new, own):
-            self.cache[s] = " ".join([x if isinstance(x := got[i], str) else x[0] for i in o])
-
-    def _known(self, pieces: list[str]) -> list[tuple[str, bytes] | str]:
-        """Results of pieces: the ids, with the decoded bytes only if those are not the piece's own."""
+    def _learn(self, pieces: set[str]) -> dict[str, str]:
+        """The ids of each match."""
         missing = []
         for p in pieces:
             if p not in self.young:
@@ -214,29 +181,29 @@ class Codec:
                     self.young[p] = x
                 else:
                     missing.append(p)
-        for p, (ids, raw) in zip(missing, self._words(missing)):
-            self.young[p] = ids if raw == p.encode() else (ids, raw)
-        out = [self.young[p] for p in pieces]
-        if len(self.young) > PIECES_CACHED // 2:
+        self.young.update(zip(missing, self._merge([p.encode() for p in missing])))
+        found = self.young
+        if len(self.young) > CACHED // 2:
             self.old, self.young = self.young, {}
+        return found
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """The token ids of each text, joined by spaces."""
+        split = list(map(self.pattern.findall, texts))
+        known = self._learn(set().union(*split)).__getitem__
+        return [" ".join(map(known, parts)) for parts in split]
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each list of ids: its tokens' bytes, aggregated in order."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        self.db.register("_ids", pa.table({"text": np.repeat(np.arange(len(ids), dtype=np.int32), size), "pos": np.arange(len(flat)), "id": flat}))
+        out = [b""] * len(ids)
+        for i, hexed in self.db.execute("SELECT text, string_agg(hex, '' ORDER BY pos) FROM _ids JOIN vocabulary USING (id) GROUP BY text").fetchall():
+            out[i] = bytes.fromhex(hexed)
+        self.db.unregister("_ids")
         return out
 
-    def encode(self, texts: list[str]):
-        """For each text: (decimal ids joined by spaces, the decoded bytes)."""
-        split = []
-        need: set[str] = set()
-        for t in texts:
-            parts = self.segments(t)
-            parts[1:] = map(" ".__add__, parts[1:])
-            if not parts[0]:
-                del parts[0]
-            need.update(parts)
-            split.append(parts)
-        self.learn(need)
-        for parts in split:
-            ids = " ".join(map(self.cache.__getitem__, parts))
-            yield ids, b"".join(map(self.by_id.__getitem__, ids.split()))
-
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -263,7 +230,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids: array of int]) of every row; null text is empty.
 
     Empty texts have no tokens and the digests of nothing.  Null or repeated ids pass through; other columns are not
-    read.  A very long text is handled in one piece, its words in bounded queries.
+    read.  A very long text is handled in one piece, its words in bounded queries; memory grows with the longest text
+    and, at some 200 bytes a byte, with the longest unbroken word.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     id_type = docs.schema[id_col].dataType
@@ -275,14 +243,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, end in _groups(texts):
-                n, ids, shas, decoded = [], [], [], []
-                for joined, raw in c.encode(texts[at:end]):
-                    n.append(joined.count(" ") + 1 if joined else 0)
-                    shas.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(raw).hexdigest())
-                    if keep_ids:
-                        ids.append(np.array(joined.split(), np.int32))
-                cols = [batch.column(0).slice(at, end - at), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+                joined = c.encode(texts[at:end])
+                ids = [np.fromstring(x, np.int32, sep=" ") if x else np.zeros(0, np.int32) for x in joined]
+                shas = [hashlib.sha256(x.encode()).hexdigest() for x in joined]
+                decoded = [hashlib.sha256(x).hexdigest() for x in c.decode(ids)]
+                cols = [batch.column(0).slice(at, end - at), pa.array(list(map(len, ids)), pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
                 if keep_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
@@ -292,8 +257,4 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def decode(ids: list[int], path: str) -> bytes:
     """The bytes of token ids, in order."""
-    c = codec(path, public_tokenizers.PATTERN)
-    c.db.register("_ids", pa.table({"pos": np.arange(len(ids)), "id": np.array(ids, np.int32)}))
-    hexed = c.db.execute("SELECT string_agg(hex, '' ORDER BY pos) FROM _ids JOIN vocabulary USING (id)").fetchall()[0][0]
-    c.db.unregister("_ids")
-    return bytes.fromhex(hexed or "")
+    return codec(path, public_tokenizers.PATTERN).decode([np.array(ids, np.int32)])[0]

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 import zlib
 
 import numpy as np
@@ -29,27 +30,54 @@ def test_byte_bpe_equals_library():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = texts(1500, 1) + ["".join(random.Random(3).choice("abcdefgh") for _ in range(2000))]
-    for t, (ids, raw) in zip(rows, c.encode(rows)):
+    for t, (ids, raw) in zip(rows, encoded(c, rows), strict=True):
         assert ids == " ".join(map(str, lib.encode_ordinary(t))) and raw == t.encode()
     assert bpe.decode(lib.encode_ordinary("naïve 日本 x"), path).decode() == "naïve 日本 x"
 
 
+def encoded(c, rows):
+    ids = c.encode(rows)
+    return list(zip(ids, c.decode([np.array(x.split(), np.int32) for x in ids])))
+
+
+def test_byte_bpe_long_words():
+    c = bpe.codec(P.path(bpe.VOCABULARY), P.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    r = random.Random(5)
+    some = [t.decode() for t in list(c.ranks)[300:4000] if t.isalpha() and t.isascii()]
+    rows = ["".join(r.choice(a) for _ in range(n)) for a in ("ab", "thwi", "etaoinsh", "aAbB", "的一是不了", "-=") for n in (63, 64, 65, 300, 20_000)]
+    rows += [w * (60_000 // len(w)) for w in ("a", "th", "abb", "hat", "ation", "--", "的")] + ["".join(r.choice(some) for _ in range(5000))]
+    rows += ["".join(r.choice(few) for _ in range(60)) for few in ([r.choice(some) for _ in range(3)] for _ in range(400))]
+    for t, ids in zip(rows, c.encode(rows), strict=True):
+        assert ids == " ".join(map(str, lib.encode_ordinary(t))), t[:50]
+    began = time.time()
+    c.encode(["".join(r.choice("ab") for _ in range(60_000))])
+    assert time.time() - began < 5
+
+
+def test_byte_bpe_goes_on_in_further_queries(monkeypatch):
+    monkeypatch.setattr(bpe, "QUERY_ROWS", 1)  # four rounds a query
+    c = bpe.Codec(P.path(bpe.VOCABULARY), P.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    rows = texts(100, 9) + ["".join(random.Random(4).choice("abcd") for _ in range(3000))]
+    assert c.encode(rows) == [" ".join(map(str, lib.encode_ordinary(t))) for t in rows]
+
+
 def test_byte_bpe_decodes_ids():
     c = bpe.Codec(P.path(bpe.VOCABULARY), P.PATTERN)
-    (ids, raw), = c.encode(["some words"])
+    (ids, raw), = encoded(c, ["some words"])
     assert raw == b"some words" == bpe.decode(list(map(int, ids.split())), P.path(bpe.VOCABULARY))
-    c.cache["some"] = " ".join(next(c.encode(["other"]))[0].split())
-    assert next(c.encode(["some words"]))[1] == b"other words"  # a wrong id shows
+    c.young["some"] = c.encode(["other"])[0]
+    assert encoded(c, ["some words"])[0][1] == b"other words"  # a wrong id shows
 
 
 def test_byte_bpe_small_caches(monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 20)
-    monkeypatch.setattr(bpe, "PIECES_CACHED", 20)
     c = bpe.Codec(P.path(bpe.VOCABULARY), P.PATTERN)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
     rows = texts(200, 5)
     for t in rows:
-        ((ids, raw),) = list(c.encode([t]))
+        ((ids, raw),) = encoded(c, [t])
         assert ids == " ".join(map(str, lib.encode_ordinary(t))) and raw == t.encode()
 
 
