@@ -6,9 +6,12 @@ that begins a longer vocabulary piece, that suffix, the last token before it and
 transition is annotated with the change in the number of tokens.  States and transitions are compiled as they are met
 and interned as integers.
 
-A text is cut into chunks.  A chunk's state map is (head, tokens between, state after its tail): from its first cut on
--- a space after another character, which no piece spans -- it no longer depends on the state it was entered with.  Maps
-compose associatively, by a pairwise scan.  Whole words between cuts are macro transitions, kept in a bounded cache.
+A text is cut into chunks.  A chunk's state map gives, for every state that can enter it, the state after it and the tokens
+added.  From a chunk's first cut on -- a space after another character, which no piece spans -- the state no longer
+depends on the one entered with, so such maps differ by their heads only; a chunk without a cut is run from each of the
+states that the text just before it can leave, whichever token began first there.  Maps compose associatively, by a
+prefix scan in rounds of doubling distance; a state that a map lacks is run through its chunk then, so counts are exact.
+Whole words between cuts are macro transitions, kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import types as T
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CHUNK = 1 << 16
+#: Characters before a chunk without a cut that the states entering it are sought in.
+LOOK = 64
 #: Entries kept; they only save time.
-WORDS_KEPT, STATES_KEPT = 300_000, 150_000
+WORDS_KEPT, STATES_KEPT, STABLE_KEPT = 300_000, 150_000, 500_000
 SPACE = "▁"
 UNKNOWN = ""
 START = 0
@@ -41,6 +46,7 @@ class Transducer:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score):
             raise ValueError("a piece spans a space: words can't be counted apart")
         self.begins = {p[:i] for p in self.score for i in range(1, len(p))}
+        self.longest = max(map(len, self.score))
         self.stable: dict[tuple[str, str], bool] = {}
         self.reset()
 
@@ -70,6 +76,8 @@ class Transducer:
         key = (before or "", token)
         got = self.stable.get(key)
         if got is None:
+            if len(self.stable) >= STABLE_KEPT:
+                self.stable.clear()
             got = self.merge(token) == [token] if not before else self.merge(before + token) == [before, token]
             self.stable[key] = got
         return got
@@ -89,13 +97,17 @@ class Transducer:
             if last is None:  # a character in longer pieces only: given in bytes
                 last, change = UNKNOWN, len(char.encode())
             following = tuple((s + char, b, a - change) for s, b, a in entries if s + char in self.begins) + (("", last, 0),)
-        n = self.ids.get(following)
-        if n is None:
-            n = self.ids[following] = len(self.states)
-            self.states.append(following)
+        n = self.number(following)
         self.step[state << 21 | ord(char)] = n, change
         return n, change
 
+    def number(self, state: tuple) -> int:
+        n = self.ids.get(state)
+        if n is None:
+            n = self.ids[state] = len(self.states)
+            self.states.append(state)
+        return n
+
     def run(self, state: int, chars: str) -> tuple[int, int]:
         """(state after, tokens added)."""
         total, step = 0, self.step
@@ -105,39 +117,74 @@ class Transducer:
             total += change
         return state, total
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, int | None, int]:
-        """(head, tokens of the whole words after it, state after the tail or None if there is no cut, the tail's tokens)."""
+    def chunk_map(self, chunk: str, entries) -> dict[tuple, tuple[tuple, int]]:
+        """Entering state -> (state after the chunk, tokens added).  States are whole here, not numbers."""
+        if len(self.states) > STATES_KEPT:
+            self.reset()
         if "  " in chunk or chunk[:1] == " " or chunk[-1:] == " ":
             parts = re.findall(r"^ *[^ ]*| +[^ ]*", chunk)
         else:
             parts = chunk.split(" ")
             parts[1:] = map(" ".__add__, parts[1:])
+        head = parts[0].replace(" ", SPACE)
+        out = {}
         if len(parts) == 1:
-            return parts[0], 0, None, 0
+            for entry in entries:
+                state, n = self.run(self.number(entry), head)
+                out[entry] = self.states[state], n
+            return out
         state, tail = self.run(START, parts[-1].replace(" ", SPACE))
-        return parts[0], sum(map(self.words.__getitem__, parts[1:-1])), state, tail
-
-    def then(self, a, b):
-        """First map ``a``, then map ``b``."""
-        if a[2] is None:
-            return a[0] + b[0], b[1], b[2], b[3]
-        state, n = self.run(a[2], b[0].replace(" ", SPACE))
-        if b[2] is None:
-            return a[0], a[1], state, a[3] + n
-        return a[0], a[1] + a[3] + n + b[1], b[2], b[3]
+        rest = sum(map(self.words.__getitem__, parts[1:-1])) + tail
+        for entry in entries:
+            out[entry] = self.states[state], self.run(self.number(entry), head)[1] + rest
+        return out
+
+    def entering(self, before: str) -> set[tuple]:
+        """States that a chunk after ``before`` may be entered with: one behind a cut, else one for each place a token may start."""
+        near = before[-LOOK:]
+        cut = max((i for i in range(1, len(near)) if near[i] == " " and near[i - 1] != " "), default=None)
+        starts = [cut] if cut is not None else range(min(self.longest, len(near)))
+        return {self.states[self.run(START, near[i:].replace(" ", SPACE))[0]] for i in starts}
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         text = " " + text.replace(SPACE, " ")  # the library treats both alike, and puts one before
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:
-            maps = [self.then(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, between, _, tail = maps[0]
-        total = self.run(START, head.replace(" ", SPACE))[1] + between + tail
-        if len(self.states) > STATES_KEPT:
-            self.reset()
-        return total
+        chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
+        first = self.states[START]
+        maps = [Map(self, x, {first} if i == 0 else self.entering(chunks[i - 1])) for i, x in enumerate(chunks)]
+        return scan(maps)[-1](first)[1]
+
+
+class Map:
+    """A state map: of one chunk, or of two neighbouring maps one after the other."""
+
+    def __init__(self, transducer: Transducer, chunk: str, entries, first: Map | None = None, second: Map | None = None):
+        self.transducer, self.chunk, self.first, self.second = transducer, chunk, first, second
+        self.table = transducer.chunk_map(chunk, entries) if first is None else {e: self._through(e) for e in first.table}
+
+    def _through(self, state: tuple) -> tuple[tuple, int]:
+        middle, a = self.first(state)
+        after, b = self.second(middle)
+        return after, a + b
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        got = self.table.get(state)
+        if got is None:
+            got = self.table[state] = self._through(state) if self.first else self.transducer.chunk_map(self.chunk, [state])[state]
+        return got
+
+    def then(self, other: Map) -> Map:
+        return Map(self.transducer, "", (), self, other)
+
+
+def scan(maps: list[Map]) -> list[Map]:
+    """Inclusive prefix scan: the i-th result goes through maps 0 to i; log2 rounds, each of independent compositions."""
+    d = 1
+    while d < len(maps):
+        maps = [maps[i - d].then(m) if i >= d else m for i, m in enumerate(maps)]
+        d *= 2
+    return maps
 
 
 class Words(dict):

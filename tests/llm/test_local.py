@@ -93,6 +93,8 @@ def test_token_counts_equal_library(chunk, monkeypatch):
 def test_token_counts_small_caches(monkeypatch):
     monkeypatch.setattr(token_counts, "STATES_KEPT", 50)
     monkeypatch.setattr(token_counts, "WORDS_KEPT", 10)
+    monkeypatch.setattr(token_counts, "STABLE_KEPT", 20)
+    monkeypatch.setattr(token_counts, "CHUNK", 30)
     t = token_counts.Transducer(P.path(token_counts.MODEL))
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path(token_counts.MODEL))
     for x in texts(300, 9):
@@ -101,11 +103,35 @@ def test_token_counts_small_caches(monkeypatch):
 
 def test_chunk_maps_compose_associatively():
     t = token_counts.transducer(P.path(token_counts.MODEL))
-    for x in texts(100, 4):
+    start = t.states[token_counts.START]
+    for x in texts(100, 4) + ["abab" * 50, "日本語のテキスト" * 20, "lalalala" * 9]:
         x = " " + x.replace("▁", " ") + " " * 3
         third = len(x) // 3
-        a, b, c = (t.chunk_map(s) for s in (x[:third], x[third : 2 * third], x[2 * third :]))
-        assert t.then(t.then(a, b), c) == t.then(a, t.then(b, c))
+        a, b, c = x[:third], x[third : 2 * third], x[2 * third :]
+        a, b, c = (token_counts.Map(t, s, e) for s, e in ((a, {start}), (b, t.entering(a) if a else {start}), (c, t.entering(x[: 2 * third]))))
+        left, right = a.then(b).then(c), a.then(b.then(c))
+        assert left(start) == right(start)
+        assert left(start)[1] == t.run(token_counts.START, x.replace(" ", "▁"))[1]
+
+
+def test_prefix_scan_counts_every_prefix():
+    t = token_counts.transducer(P.path(token_counts.MODEL))
+    r = random.Random(8)
+    for alphabet in ("ab", "aeiourst", "日本語のテキスト", "ab c", "of the"):
+        chunks = [" "] + ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(9)]
+        start = t.states[token_counts.START]
+        maps = [token_counts.Map(t, x, {start} if i == 0 else t.entering("".join(chunks[:i]))) for i, x in enumerate(chunks)]
+        got = [m(start)[1] for m in token_counts.scan(maps)]
+        assert got == [t.run(token_counts.START, "".join(chunks[: i + 1]).replace(" ", "▁"))[1] for i in range(len(chunks))]
+
+
+def test_maps_of_chunks_without_a_cut_hold_the_state_that_comes():
+    t = token_counts.transducer(P.path(token_counts.MODEL))
+    r = random.Random(2)
+    for alphabet in ("ab", "etaoinshr", "日本語のテキスト", "lo"):
+        before = " " + "".join(r.choice(alphabet) for _ in range(2000))
+        real = t.states[t.run(token_counts.START, before.replace(" ", "▁"))[0]]
+        assert real in t.entering(before)
 
 
 def slow_fingerprint(text):
