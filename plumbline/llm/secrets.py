@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order models over characters are trained from labelled samples that the corpus itself gives: the values that
-the fixed patterns find are random strings, all other text but the runs to be judged is ordinary.  Counts cover every document; they are two tables of
-fixed size.  A run of 20 or more key characters outside the patterns' spans is reported if its log-likelihood ratio favours
+the fixed patterns find are random strings, all other text but the runs to be judged is ordinary.  A character belongs to one
+sample at most, whatever patterns overlap there.  Counts cover every document; they are two tables of fixed size.  A run of 20 or more key characters outside the patterns' spans is reported if its log-likelihood ratio favours
 the random model by enough, in total and per character.
 """
 
@@ -51,10 +51,31 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(out)
 
 
-def transitions(text: str) -> np.ndarray:
-    """Counts of neighbouring characters, K x K, flat."""
+def transitions(text: str, hidden=()) -> np.ndarray:
+    """Counts of neighbouring characters, K x K, flat; ``hidden``: spans, in order, whose characters are left out."""
     x = _code[np.frombuffer(text.encode(), np.uint8)]
-    return np.bincount(x[:-1] * K + x[1:], minlength=K * K) if len(x) > 1 else np.zeros(K * K, np.int64)
+    if not hidden:
+        return np.bincount(x[:-1] * K + x[1:], minlength=K * K) if len(x) > 1 else np.zeros(K * K, np.int64)
+    at = seen = 0
+    plain = text.isascii()
+    for i, j in hidden:
+        if not plain:
+            start = at + len(text[seen:i].encode())
+            at, seen = start + len(text[i:j].encode()), j
+        x[i if plain else start : j if plain else at] = K
+    wide = K + 1
+    return np.bincount(x[:-1] * wide + x[1:], minlength=wide * wide).reshape(wide, wide)[:K, :K].ravel()
+
+
+def joined(spans) -> list[tuple[int, int]]:
+    """The union of spans, as disjoint spans in order."""
+    out: list[list[int]] = []
+    for i, j in sorted(spans):
+        if out and i < out[-1][1]:
+            out[-1][1] = max(out[-1][1], j)
+        else:
+            out.append([i, j])
+    return [(i, j) for i, j in out]
 
 
 def candidates(text: str, spans) -> list[tuple[int, int, str]]:
@@ -83,24 +104,21 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for t in b.column(1):
                 text = t.as_py() or ""
                 spans = base_spans(text)
-                ordinary += transitions(text)
-                for _, _, _, i, j in spans:
-                    own = transitions(text[i:j])
-                    random += own
-                    ordinary -= own
+                runs_here = candidates(text, spans)  # unlabelled, so neither model learns from them
+                values = joined((i, j) for *_, i, j in spans)
+                for i, j in values:
+                    random += transitions(text[i:j])
+                ordinary += transitions(text, joined([*values, *((i, j) for i, j, _ in runs_here)]))
                 kinds.append([s[1] for s in spans])
                 starts.append([s[0] for s in spans])
                 ends.append([s[2] for s in spans])
-                runs_here = candidates(text, spans)
-                for _, _, run in runs_here:  # unlabelled, so neither model learns from them
-                    ordinary -= transitions(run)
                 found.append([{"start": i, "end": j, "run": run} for i, j, run in runs_here])
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())),
                                               pa.array(found, runs), pa.nulls(n, pa.list_(pa.int64()))], schema.names)
         if id_type is not None:
             empty = [pa.nulls(1, id_type), *(pa.nulls(1, x) for x in (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), runs))]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array([np.concatenate([random, np.maximum(ordinary, 0)]).tolist()], pa.list_(pa.int64()))], schema.names)
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([np.concatenate([random, ordinary]).tolist()], pa.list_(pa.int64()))], schema.names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return C.stored(rows.mapInArrow(go, schema), "scan")
@@ -126,7 +144,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov).
 
     Null text is empty: no spans, the digest of nothing.  Null and repeated ids pass through; an empty table gives no rows;
-    other columns are not read.  A corpus without pattern matches trains the random model from its prior (all key
+    other columns are not read.  Whole texts are read, one at a time: memory grows with the longest one.  Spans that start
+    together are put in the order of their kinds.  A corpus without pattern matches trains the random model from its prior (all key
     characters alike).
     """
     scanned = scan(docs, id_col, text_col)

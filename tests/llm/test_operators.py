@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -252,6 +253,51 @@ def test_secrets(docs, spark):
     assert out.loc[200].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def brute_secrets(data):
+    """The contract's row and the models from scratch: characters labelled one by one."""
+    patterns = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8), ("AKIA[A-Z0-9]+", 0, 0, 16), ("[0-9a-f]+", 0, 0, 32)]
+    n, per = secrets.K, {}
+    counts = np.zeros((2, n, n))
+    code = lambda c: secrets.ALPHABET.find(c) if c in secrets.ALPHABET else n - 1
+    for i, text in data:
+        text = text or ""
+        spans = [(m.start(), k, m.end(), *m.span(g)) for k, (p, flag, g, least) in enumerate(patterns) for m in re.finditer(p, text, flag) if m.end(g) - m.start(g) >= least]
+        label = [1] * len(text)
+        runs = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if not any(s < m.end() and m.start() < e for s, _, e, *_ in spans)]
+        for a, b in runs:
+            label[a:b] = [None] * (b - a)
+        for *_, a, b in spans:
+            label[a:b] = [0] * (b - a)
+        for j in range(len(text) - 1):
+            if label[j] == label[j + 1] is not None:
+                counts[label[j], code(text[j]), code(text[j + 1])] += 1
+        per[i] = sorted(s[:3] for s in spans), runs, text
+    ratio = secrets.ratios(counts.ravel())
+    out = {}
+    for i, (base, runs, text) in per.items():
+        more = [(a, 3, b) for a, b in runs if (s := sum(ratio[code(x), code(y)] for x, y in zip(text[a:b], text[a + 1 : b]))) >= 20 and s >= 0.8 * (b - a)]
+        line = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'markov')[k]}:{a}:{b}" for a, k, b in spans)
+        kinds = [k for _, k, _ in base]
+        out[i] = (*map(kinds.count, range(3)), hashlib.sha256(line(base).encode()).hexdigest(), line(sorted(base + more)), len(more))
+    return out
+
+
+def test_secrets_equal_brute_force(spark):
+    r = random.Random(11)
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    text = secrets.ALPHABET[:62]
+    kinds = [lambda: f"token={some('0123456789abcdef', 40)}", lambda: f"API_KEY: 'AKIA{some('ABCDEFGHIJ0123', 16)}'", lambda: some("0123456789abcdef", r.randrange(28, 40)), lambda: some(text, 32),
+             lambda: f"secret := {some(text, 12)}", lambda: "antidisestablishmentarianism_interoperability", lambda: "é" * r.randrange(4), lambda: "passwd=" + some(text, 7), lambda: f"{some('abc', 5)}token=deadbeef"]
+    prose = [t for _, t, *_ in rows() if t and len(t) < 5000]
+    data = [(i, " ".join([r.choice(prose)[:400], *(r.choice(kinds)() for _ in range(r.randrange(5)))])) for i in range(150)] + [(900, None), (901, ""), (902, "x")]
+    want = brute_secrets(data)
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    for parts in (1, 7):  # the models don't depend on the partitioning
+        got = secrets.find_secrets(frame.repartition(parts)).toPandas()
+        assert {x.doc_id: (x.n_assign, x.n_access, x.n_hex, x.base_sha256, x.spans, x.n_markov) for x in got.itertuples()} == want
+    assert sum(x[-1] for x in want.values()) > 20
+
+
 def test_quality(docs, spark):
     got = quality.decisions(docs).toPandas()
     assert len(got) == len(rows())
