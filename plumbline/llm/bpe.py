@@ -29,19 +29,19 @@ from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text handled at a time, bytes and rows of one recursive query, cached matches: all bound memory only.
-TEXT_CHARS, QUERY_BYTES, QUERY_ROWS, CACHED = 2_000_000, 600_000, 12_000_000, 400_000
+TEXT_CHARS, QUERY_BYTES, QUERY_ROWS, CACHED = 4_000_000, 400_000, 12_000_000, 800_000
 #: Blocks of words that fit in one have this many bits of offset.
 BLOCK_BITS = 6
 
 #: The least rank of a block and its neighbours; a word within one block has none.
 LEAST = {True: "min(least) OVER (ORDER BY b RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)", False: "least"}
 
-# One recursion; a word without a pair left is put out once more, marked as ended, and then drops out of it.
+# One recursion; a word without a pair left is put out once more, marked as ended by round -1, and then drops out of it.
 ROUND = """
-WITH RECURSIVE enc(w, k, tok, len, ended, round) AS (
-    SELECT w, k, tok, len, false, 0 FROM base
+WITH RECURSIVE enc(w, k, tok, len, round) AS (
+    SELECT w, k, tok, len, 0::SMALLINT FROM base
     UNION ALL
-    (WITH live AS (SELECT w, k, tok, len, round FROM enc WHERE NOT ended AND round < {rounds}),
+    (WITH live AS (SELECT w, k, tok, len, round FROM enc WHERE round BETWEEN 0 AND {rounds} - 1),
     p AS MATERIALIZED (
         SELECT l.w, l.k, r.k AS mid, r.k + r.len AS fin, m.new, m.loose
         FROM live l JOIN live r ON r.k = l.k + l.len JOIN pairs m ON m.ab = l.tok::BIGINT * 65536 + r.tok
@@ -73,7 +73,7 @@ WITH RECURSIVE enc(w, k, tok, len, ended, round) AS (
         SELECT k, mid, fin, new FROM hits
         WHERE k NOT IN (SELECT k FROM later) AND (k NOT IN (SELECT k FROM after) OR k IN (SELECT k FROM ranked WHERE i % 2 = 1 AND go))
     )
-    SELECT e.w, e.k, coalesce(c.new, e.tok), coalesce(c.fin - e.k, e.len), o.w IS NULL, e.round + 1
+    SELECT e.w, e.k, coalesce(c.new, e.tok), coalesce(c.fin - e.k, e.len)::SMALLINT, CASE WHEN o.w IS NULL THEN -1 ELSE e.round + 1 END::SMALLINT
     FROM live e LEFT JOIN (SELECT k, new, fin FROM chosen UNION ALL SELECT mid, -1, 0 FROM chosen) c ON c.k = e.k
     LEFT JOIN (SELECT DISTINCT w FROM p) o ON o.w = e.w
     WHERE c.new IS DISTINCT FROM -1)
@@ -96,7 +96,7 @@ class Codec:
         loose = {m for u, v, r, t, i in merges for m in self._loose(u, v, r, t, i)}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         pairs = pa.table({"ab": np.array([u * 65536 + v for u, v, *_ in merges]), "new": np.array([m[2] for m in merges], np.int32), "loose": [m[:2] in loose for m in merges]})
-        vocabulary = pa.table({"id": np.array(list(self.ranks.values()), np.int32), "hex": [t.hex() for t in self.ranks]})
+        vocabulary = pa.table({"id": np.array(list(self.ranks.values()), np.int32), "bytes": [t.decode("latin-1") for t in self.ranks]})
         for name, t in (("pairs", pairs), ("vocabulary", vocabulary)):
             self._table(name, t)
         #: Matches' ids of this and the last generation; a generation ends at half of CACHED.
@@ -140,11 +140,11 @@ class Codec:
         first = np.repeat(np.cumsum(taken) - taken, size)
         inside = np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
         flat = np.frombuffer(b"".join(w if r is None else b"?" for w, r in zip(words, whole)), np.uint8)
-        tok, length = self.byte_ids[flat], np.ones(len(flat), np.int32)
+        tok, length = self.byte_ids[flat], np.ones(len(flat), np.int16)
         at = np.flatnonzero([r is not None for r in whole])
         rows = (np.cumsum(size) - size)[at]
         tok[rows], length[rows] = [whole[i] for i in at], [len(words[i]) for i in at]
-        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "k": first + inside, "tok": tok, "len": length})
+        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "k": (first + inside).astype(np.int32), "tok": tok, "len": length})
 
     def _merge(self, words: list[bytes]) -> list[str]:
         """The ids of each word, joined by spaces."""
@@ -161,13 +161,13 @@ class Codec:
                     end += 1
                 part, at = own[at:end], end
                 self._table("base", self._base([words[i] for i in part], bits))
-                rounds = max(4, QUERY_ROWS // max(1, held))
+                rounds = min(30_000, max(4, QUERY_ROWS // max(1, held)))
                 while True:  # a query holds the rows of all its rounds: very long words go on in a further one
                     query = ROUND.format(bits=bits, rounds=rounds, least=LEAST[any(len(words[i]) > 1 << bits for i in part)])
-                    self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {query} SELECT w, k, tok, len, ended FROM enc WHERE ended OR round = {rounds}")
-                    for w, ids in self.db.execute("SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY k) FROM done WHERE ended GROUP BY w").fetchall():
+                    self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {query} SELECT * FROM enc WHERE round IN (-1, {rounds})")
+                    for w, ids in self.db.execute("SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY k) FROM done WHERE round = -1 GROUP BY w").fetchall():
                         out[part[w]] = ids
-                    self.db.execute("CREATE OR REPLACE TEMP TABLE base AS SELECT w, k, tok, len FROM done WHERE NOT ended")
+                    self.db.execute("CREATE OR REPLACE TEMP TABLE base AS SELECT w, k, tok, len FROM done WHERE round > 0")
                     if not self.db.execute("SELECT count(*) FROM base").fetchall()[0][0]:
                         break
         return out
@@ -197,10 +197,10 @@ class Codec:
         """The bytes of each list of ids: its tokens' bytes, aggregated in order."""
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
-        self.db.register("_ids", pa.table({"text": np.repeat(np.arange(len(ids), dtype=np.int32), size), "pos": np.arange(len(flat)), "id": flat}))
+        self.db.register("_ids", pa.table({"text": np.repeat(np.arange(len(ids), dtype=np.int32), size), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
         out = [b""] * len(ids)
-        for i, hexed in self.db.execute("SELECT text, string_agg(hex, '' ORDER BY pos) FROM _ids JOIN vocabulary USING (id) GROUP BY text").fetchall():
-            out[i] = bytes.fromhex(hexed)
+        for i, chars in self.db.execute("SELECT text, string_agg(bytes, '' ORDER BY pos) FROM _ids JOIN vocabulary USING (id) GROUP BY text").fetchall():
+            out[i] = chars.encode("latin-1")  # a character stands for a byte
         self.db.unregister("_ids")
         return out
 
