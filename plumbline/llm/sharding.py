@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import _common as C
@@ -102,11 +103,14 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     A shard misses an equal share of the bytes by 1 % and half of the longest row at most on each side; equal texts
     share a shard unless their group alone holds more than that and a splitter falls in it.  Null text: size 1.  Null ids
-    sort with id 0.  Rows that repeat id and text are never cut apart.  Empty table: no rows.  Only the id and text columns
+    sort with id 0; ids that are no integers sort by their hash.  Rows that repeat id and text are never cut apart.  Very long texts
+    count by their bytes, which may make their shard the largest.  Empty table: no rows.  Only the id and text columns
     are read.
     """
     text = F.col(text_col)
-    key2 = F.shiftrightunsigned(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(2**63))), 1)
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(2**63))) if whole else F.xxhash64(id_col)
+    key2 = F.shiftrightunsigned(place, 1)
     rows = C.cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
