@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, only where that is unset, one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; unset, and on one machine only, one of our own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -28,23 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plumbline-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
-    def remove() -> None:
+    def at_end() -> None:
         try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            remove(spark, path)
         except Exception:  # the JVM has ended already
             pass
 
-    atexit.register(remove)
+    atexit.register(at_end)
     return path
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,14 +35,24 @@ def _one_line(s) -> str:
     return "" if s is None else " ".join(str(s).split())
 
 
+def urn(page_id) -> str:
+    """A record id: any id as a string, escaped; null apart from the string "None"."""
+    return "<urn:null:>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page(name: str | None) -> str | None:
+    """The id that ``urn`` was made of."""
+    return unquote(name[len("<urn:page:") : -1]) if name and name.startswith("<urn:page:") else None
+
+
 def record(page_id, url, payload: bytes, refers_to=None) -> bytes:
     """One WARC/1.1 record; with ``refers_to`` a revisit, which keeps the HTTP head (with the full length) and no body."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
              f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -209,8 +220,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                         want = warc["warc-payload-digest"].removeprefix("sha1:")
                         if kind == "response" and digest(payload) != want:
                             raise ValueError(f"{name}: the record at {at} does not match its digest")
-                        bare = lambda s: s[len("<urn:page:") : -1] if s else None
-                        row = [bare(warc["warc-record-id"]), warc["warc-target-uri"], int(http["content-length"]), want, kind, bare(warc.get("warc-refers-to"))]
+                        row = [page(warc["warc-record-id"]), warc["warc-target-uri"], int(http["content-length"]), want, kind, page(warc.get("warc-refers-to"))]
                         rows.append([*row, payload] if payloads else row)
                         held += len(payload) if payloads else 0
                         if len(rows) >= 5000 or held >= 16 << 20:
@@ -246,12 +256,15 @@ def archive_and_read(pages: DataFrame, **kw) -> DataFrame:
     """Per page, from the archives: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     Null payloads are empty.  Rows that repeat the least page_id of a group are all responses.  A null page_id is a revisit
-    where its payload has another page, else a response.  Empty table: no archives and no rows.  Extra columns are not kept.
+    where its payload has another page, else a response.  Ids of any type are escaped in the headers.  Empty table: no archives
+    and no rows.  Extra columns are not kept.  A payload is held whole, a few times over, while it is written and while it is
+    checked against its digest; the normaliser streams.
     """
     spark = pages.sparkSession
     raw, ready = C.fresh_path(spark, "warc-raw"), C.fresh_path(spark, "warc")
     kind = pages.schema[kw.get("id_col", "page_id")].dataType
     manifest = normalise(write(revisits(pages, **kw), raw), raw, ready)
     out = read(manifest, ready)
-    own = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind).alias(c)
+    C.remove(spark, raw)  # all of it is rewritten
+    own = lambda c: F.col(c).cast(kind).alias(c)
     return out.select(own("page_id"), "payload_bytes", "payload_digest", "record_type", own("refers_to"))
