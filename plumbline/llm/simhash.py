@@ -1,15 +1,18 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their 8 positional bytes.  The index posts
-each distinct fingerprint under its combinations of 5 positional bytes, so a pair comes up only if its tally of shared
-bytes reaches that minimum; pairs are then verified bit by bit.  A list of very many fingerprints is not paired but
-posted again under parts of its remaining bits, by the same guarantee (3 of 6 nibbles, then 9 of 12 bits, where a list
-has at most 8 members), so work stays in proportion to the fingerprints however many fall together, and no link is lost.
+Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their 8 positional bytes.  Lists of single bytes
+would pair a share of 1/256 of all fingerprints, so the index posts each distinct one under its combinations of 5 positional
+bytes.  Lists give their pairs, unverified; the tally of a pair is the number of lists that it comes up in: 1, 6, 21 or 56 for
+5, 6, 7 or 8 shared bytes.  Pairs whose tally reaches the guaranteed minimum are retained and verified bit by bit.  A list of
+very many fingerprints is not paired but posted again under parts of its remaining bits, by the same guarantee (3 of 6
+nibbles, then 9 of 12 bits, where a list has at most 8 members), so work stays in proportion to the fingerprints however
+many fall together, and no link is lost; a pair's tally is then that of the lists below.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ BITS = 3
 SHINGLE = 3
 SEED = 42
 #: Lists of up to this many fingerprints are paired within; longer ones are posted again.
-LIST = 128
+LIST = 32
 #: Keys of longer lists are broadcast up to this count, else joined by a shuffle.
 BROADCAST_ROWS = 100_000
 _BLOCK = 1 << 16
@@ -102,15 +105,11 @@ def links(fps: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
             last = level == 2
             short = members if last else members.where(F.col("n") <= longest)
             sets = short.groupBy("mask", "key").agg(F.array_sort(F.collect_list("fp")).alias("m"))  # up to ``longest`` each
-            inside = F.flatten(F.transform("m", lambda x, i: F.transform(
-                F.filter(F.slice("m", i + 2, F.size("m")), lambda y: F.bit_count(x.bitwiseXOR(y)) <= bits), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+            inside = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
             pairs = pairs.unionByName(sets.select(F.explode(inside).alias("p")).select("p.a", "p.b"))
-        x = F.col("a").bitwiseXOR(F.col("b"))
-        shared = sum((F.when(x.bitwiseAND(F.lit(_signed(0xFF << 8 * i))) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-        pairs = pairs.where((shared >= 8 - bits) & (F.bit_count(x) <= bits))
         found = pairs if found is None else found.unionByName(pairs)
         if not held or last or members.where(F.col("n") > longest).isEmpty():
-            return found.distinct()
+            return _retained(found, bits)
         width = (4, 1)[level]
         below = _children(spark, masks, width, bits)
         masks = sorted({c for m in masks for c in _parts(m, width, bits)})
@@ -119,12 +118,22 @@ def links(fps: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
         level += 1
 
 
+def _retained(pairs: DataFrame, bits: int) -> DataFrame:
+    """Count filter and verification of pairs that came up once for each list they share."""
+    tally = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
+    shared = F.lit(0)
+    for n in range(8 - bits, 9):  # n shared bytes give so many lists
+        shared = F.when(F.col("lists") >= comb(n, 8 - bits), n).otherwise(shared)
+    return tally.where((shared >= 8 - bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row per input row: (doc_id, fingerprint, component_id).
 
     component_id is the least id reachable over links, itself included.  Null and blank texts have fingerprint zero and
     link like any other.  Null ids are never a component_id unless the component has no other (then it is null).  Repeated
-    rows count as copies.  Empty table: no rows; other columns are not read.
+    rows count as copies.  Whole texts are read, one at a time: memory grows with the longest one.  Empty table: no rows; other
+    columns are not read.
     """
     rows = C.stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = C.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
