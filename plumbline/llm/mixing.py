@@ -121,11 +121,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null text has size 0, null source is a source of its own, ranked last.  A document of no words takes no words.  Rows
     that repeat an id are laid out one after the other, each for itself.  ``row`` numbers the rows; ``row_col`` names a
-    column of distinct longs to be used for it.  Empty table: no rows.  Extra columns are not read.
+    column of distinct longs to be used for it.  Texts are counted, never cut, so a very long one is taken in pieces of several
+    slots; ties in hash order go by id.  Empty table: no rows.  Extra columns are not read.
     """
     key = [F.col(row_col).alias("row")] if row_col else []
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), C.word_count(F.col(text_col)).alias("size"), *key)
-    d = lay_out(d)
+    d = lay_out(C.cut(d))  # texts are read and counted once; range partitions sample what is cut
     sources = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sources, share, laps, weights)
     total = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first().t
@@ -169,8 +170,9 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     while key in docs.columns:
         key += "_"
     keyed = C.stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    _, pieces = mix(keyed, id_col, text_col, row_col=key, **kw)
-    laps = C.cut(pieces.groupBy(F.col("row").alias("_of"), "lap").agg(F.sum("words").alias("_words")))
-    size = C.word_count(F.col(text_col))
-    both = keyed.join(laps.hint("merge"), keyed[key] == laps._of).where(laps._words * 2 >= size)
+    d, pieces = mix(keyed, id_col, text_col, row_col=key, **kw)
+    laps = pieces.groupBy("row", "lap").agg(F.sum("words").alias("_words"))
+    laps = laps.join(d.select("row", "size").hint("merge"), "row").where(F.col("_words") * 2 >= F.col("size"))
+    laps = C.cut(laps.select(F.col("row").alias("_of")))
+    both = keyed.join(laps.hint("merge"), keyed[key] == laps._of)
     return both.select(*[keyed[f"`{c}`"] for c in docs.columns])
