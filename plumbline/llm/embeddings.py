@@ -3,8 +3,8 @@
 Unit vectors at cosine c are sqrt(2 - 2c) apart.  Distinct vectors are projected on their leading principal directions,
 put in cells of that width, and sorted by cells.  The sorted sequence of each label is cut into blocks, and blocks into
 a tree of intervals; pairs of intervals are split again level by level, dropping those whose boxes are provably farther
-apart than epsilon.  Only the block pairs that remain are compared, exactly and in double precision.  A block pair
-returns link counts per vector and a spanning forest of its links, so dense groups never become lists of all pairs.
+apart than epsilon.  Only the block pairs that remain are compared, exactly and in double precision, a tile of neighbouring
+pairs at a time, to which each of its blocks travels once.  A tile returns link counts per vector and a spanning forest of its links, so dense groups never become lists of all pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ def _usable(vec):
 
 def _matrix(col) -> np.ndarray:
     """A list<double> Arrow column of equal lengths as unit rows."""
-    x = np.asarray(col.flatten(), np.float64).reshape(len(col), -1)
+    return _unit(np.asarray(col.flatten(), np.float64).reshape(len(col), -1))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow or underflow of the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -73,8 +76,7 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float, block: int
                 cols = [part.column(i).combine_chunks() for i in range(5)] + [pa.array(list(cells), pa.list_(pa.int32())), pa.array(list(p), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["label", "dim", "rep", "vec", "n", "cells", "at"])
 
-    label = reps.schema["label"].dataType.simpleString()
-    placed = reps.select("label", "dim", "rep", "vec", "n").mapInArrow(project, f"label {label}, dim int, rep long, vec array<double>, n long, cells array<int>, at array<double>")
+    placed = reps.select("label", "dim", "rep", "vec", "n").mapInArrow(project, "label long, dim int, rep long, vec array<double>, n long, cells array<int>, at array<double>")
     order = ["label", "dim", "cells", "rep"]
     ordered = placed.repartitionByRange(C.parallelism(reps.sparkSession), *order).sortWithinPartitions(*order)
     ordered = ordered.withColumn("part", F.spark_partition_id())
@@ -103,10 +105,9 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float, block: int
         if held:
             yield pa.RecordBatch.from_pylist([out()], schema)
 
-    lab = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16()}.get(label, pa.string())
     f = pa.list_(pa.float64())
-    schema = pa.schema([("label", lab), ("dim", pa.int32()), ("block", pa.int64()), ("low", f), ("high", f), ("ids", pa.binary()), ("ns", pa.binary()), ("vecs", pa.binary())])
-    return C.stored(ordered.mapInArrow(pack, f"label {label}, dim int, block long, low array<double>, high array<double>, ids binary, ns binary, vecs binary"), "blocks")
+    schema = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("block", pa.int64()), ("low", f), ("high", f), ("ids", pa.binary()), ("ns", pa.binary()), ("vecs", pa.binary())])
+    return C.stored(ordered.mapInArrow(pack, "label long, dim int, block long, low array<double>, high array<double>, ids binary, ns binary, vecs binary"), "blocks")
 
 
 def _near(eps: float):
@@ -114,10 +115,8 @@ def _near(eps: float):
     return F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= (eps + _SLACK) ** 2
 
 
-def _block_pairs(blocks: DataFrame, eps: float, fan: int) -> DataFrame:
-    """Pairs of blocks (one, two), one <= two, that are not provably distant: interval pairs, split level by level."""
-    leaf = C.bounded_rank(blocks.select("label", "dim", "block", "low", "high"), ["label", "dim", "block"], rank="node")
-    leaf = C.cut(leaf.select("label", "dim", "node", "low", "high", "block"))
+def _block_pairs(leaf: DataFrame, eps: float, fan: int) -> DataFrame:
+    """Pairs of leaves (one, two), one <= two, that are not provably distant: interval pairs, split level by level."""
     tree = [leaf.drop("block")]
     top = leaf.groupBy("label", "dim").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
     most = top.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
@@ -135,40 +134,44 @@ def _block_pairs(blocks: DataFrame, eps: float, fan: int) -> DataFrame:
         b = level.select("label", "dim", up.alias("two"), F.col("node").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"))
         split = pairs.join(a, ["label", "dim", "one"]).join(b, ["label", "dim", "two"])
         pairs = C.cut(split.where((F.col("a") <= F.col("b")) & _near(eps)).select("label", "dim", F.col("a").alias("one"), F.col("b").alias("two")))
-    name = leaf.select(F.col("node"), "block")
-    pairs = pairs.join(name.select(F.col("node").alias("one"), F.col("block").alias("x")), "one").join(name.select(F.col("node").alias("two"), F.col("block").alias("y")), "two")
-    return C.cut(pairs.select("x", "y"))
+    return pairs.select("one", "two")
 
 
 def _compare(cosine: float):
-    """Block pairs -> (a, null, links of a found here) and (a, b, 0) for the edges of a spanning forest of the links."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                x, y, dim, ix, nx, vx, iy, ny, vy = (c[i].as_py() for c in b.columns)
-                ix, nx, iy, ny = (np.frombuffer(v, np.int64) for v in (ix, nx, iy, ny))
-                ux, uy = (v / np.sqrt((v * v).sum(1, keepdims=True)) for v in (np.frombuffer(v).reshape(-1, dim) for v in (vx, vy)))
-                hit = ux @ uy.T >= cosine
-                if x == y:
-                    hit = np.triu(hit, 1)
-                r, c = np.nonzero(hit)
-                if not len(r):
-                    continue
-                near = np.concatenate([hit @ ny, nx @ hit])
-                who = np.concatenate([ix, iy])
-                edges = _forest(ix[r].tolist(), iy[c].tolist())
-                some = np.flatnonzero(near)
-                a = np.concatenate([who[some], edges[:, 0]])
-                e = np.concatenate([np.zeros(len(some), np.int64), edges[:, 1]])
-                n = np.concatenate([near[some], np.zeros(len(edges), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(e, mask=n > 0), pa.array(n)], ["a", "b", "n"])
+    """A tile's blocks and block pairs -> (a, null, links of a found here) and (a, b, 0) for a spanning forest of the links."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def run(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = {}
+        for node, dim, ids, ns, vecs in zip(*(blocks[c].to_pylist() for c in ("node", "dim", "ids", "ns", "vecs"))):
+            held[node] = np.frombuffer(ids, np.int64), np.frombuffer(ns, np.int64), _unit(np.frombuffer(vecs).reshape(-1, dim))
+        root: dict[int, int] = {}
+        near: dict[int, int] = {}
+        edges = []
+        for one, two in zip(pairs["one"].to_pylist(), pairs["two"].to_pylist()):
+            (ix, nx, ux), (iy, ny, uy) = held[one], held[two]
+            hit = ux @ uy.T >= cosine
+            if one == two:
+                hit = np.triu(hit, 1)
+            r, c = np.nonzero(hit)
+            if not len(r):
+                continue
+            for who, n in ((ix, hit @ ny), (iy, nx @ hit)):
+                for i in np.flatnonzero(n).tolist():
+                    near[int(who[i])] = near.get(int(who[i]), 0) + int(n[i])
+            edges.append(_forest(ix[r].tolist(), iy[c].tolist(), root))
+        found = np.concatenate([np.zeros((0, 2), np.int64), *edges])
+        n = np.concatenate([np.fromiter(near.values(), np.int64, len(near)), np.zeros(len(found), np.int64)])
+        a = np.concatenate([np.fromiter(near, np.int64, len(near)), found[:, 0]])
+        b = np.concatenate([np.zeros(len(near), np.int64), found[:, 1]])
+        return pa.Table.from_arrays([pa.array(a), pa.array(b, mask=n > 0), pa.array(n)], schema=schema)
 
     return run
 
 
-def _forest(a: list[int], b: list[int]) -> np.ndarray:
-    root, out = {}, []
+def _forest(a: list[int], b: list[int], root: dict[int, int] | None = None) -> np.ndarray:
+    """The links that join up two parts; ``root`` keeps the parts."""
+    root, out = {} if root is None else root, []
 
     def find(i):
         while (up := root.get(i, i)) != i:
@@ -188,26 +191,34 @@ def group(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
           directions: int = DIRECTIONS, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
-    Only vectors of equal non-null label and equal length are compared.  Unusable vectors (null, empty, zero, null or
-    non-finite components) have no links and are their own component; so have vectors without a label.  Equal vectors are
-    compared once and counted by their number.  Null ids are never a component_id unless a component has no other.  Empty table:
-    no rows.  Extra columns are not read.
+    Only vectors of equal non-null label and equal length are compared; labels may have any type that can be grouped.  Unusable
+    vectors (null, empty, zero, null or non-finite components) have no links and are their own component; so have vectors
+    without a label.  Equal vectors are compared once and counted by their number.  A cosine that rounds to the bound in double
+    precision counts as reaching it.  Null ids are never a component_id unless a component has no other.  Empty table: no rows.
+    Extra columns are not read.  Vectors are short next to texts: a tile holds ``2 * fan`` blocks of ``block`` of them.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("raw"), F.col(label_col).alias("label"))
     rows = rows.withColumn("ok", _usable(F.col("raw")) & F.col("label").isNotNull())
     classes = rows.where("ok").groupBy("label", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
     classes = C.stored(classes, "classes").withColumn("rep", F.monotonically_increasing_id())
-    reps = C.stored(classes.select("rep", "label", "n", "first", "raw", F.size("raw").alias("dim"), F.transform("raw", lambda x: x.cast("double")).alias("vec")), "reps")
+    labels = C.stored(classes.select(F.col("label").alias("_of")).distinct(), "labels").withColumn("_label", F.monotonically_increasing_id())
+    classes = classes.join(C.sized(labels), F.col("label") == F.col("_of"))
+    reps = C.stored(classes.select("rep", "label", "_label", "n", "first", "raw", F.size("raw").alias("dim"), F.transform("raw", lambda x: x.cast("double")).alias("vec")), "reps")
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
     dims = [r.dim for r in reps.select("dim").distinct().collect()]
     if dims:
+        numbered = reps.select(F.col("_label").alias("label"), "dim", "rep", "vec", "n")
         axes = {d: _directions(reps, d, directions) for d in dims}
-        blocks = _blocks(reps, axes, eps, block)
-        pairs = _block_pairs(blocks, eps, fan)
-        x = blocks.select(F.col("block").alias("x"), "dim", F.col("ids").alias("ix"), F.col("ns").alias("nx"), F.col("vecs").alias("vx"))
-        y = blocks.select(F.col("block").alias("y"), F.col("ids").alias("iy"), F.col("ns").alias("ny"), F.col("vecs").alias("vy"))
-        both = pairs.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "dim", "ix", "nx", "vx", "iy", "ny", "vy")
-        found = C.stored(both.mapInArrow(_compare(cosine), "a long, b long, n long"), "found")
+        blocks = _blocks(numbered, axes, eps, block)
+        leaf = C.bounded_rank(blocks.select("label", "dim", "block", "low", "high"), ["label", "dim", "block"], rank="node")
+        leaf = C.cut(leaf.select("label", "dim", "node", "low", "high", "block"))
+        tile = F.struct(*[F.floor(F.col(c) / fan).alias(c) for c in ("one", "two")]).alias("tile")
+        pairs = C.cut(_block_pairs(leaf, eps, fan).select(tile, "one", "two"))
+        needed = pairs.select(F.col("tile").alias("place"), F.explode(F.array("one", "two")).alias("node")).distinct()
+        held = blocks.select("block", "dim", "ids", "ns", "vecs").join(C.sized(leaf.select("node", "block")), "block").drop("block")
+        sent = needed.hint("merge").join(held.hint("merge"), "node").select("place", "node", "dim", "ids", "ns", "vecs")
+        found = sent.groupBy("place").cogroup(pairs.groupBy("tile")).applyInArrow(_compare(cosine), "a long, b long, n long")
+        found = C.stored(found, "found")
         edges = found.where("n = 0").select("a", "b")
     else:
         found = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
