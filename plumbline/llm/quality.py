@@ -27,10 +27,9 @@ SAMPLE = 1500
 FEATURES = 4096
 #: Rejected at this probability of being bad and above: classes weigh alike in the fit, so very short texts lie near a half.
 THRESHOLD = 0.55
-#: Weight of the prior on the labellers' votes, as a share of the corpus.
-PRIOR = 0.05
-#: At most this share of good documents, and at least that of bad ones, gets any one labeller's bad vote.
-FALSE_ALARMS, LEAST_HITS = 0.002, 0.1
+#: A Dirichlet prior on each labeller's votes (bad, good, nothing) on good and on bad documents, as heavy as PRIOR times the
+#: corpus, so that it means the same at every size: hardly a good document has any one symptom.
+ON_GOOD, ON_BAD, PRIOR = (0.0005, 0.5, 0.4995), (0.3, 0.3, 0.4), 1.0
 _PIECE = 1 << 20
 
 _odd = np.zeros(256, bool)
@@ -116,7 +115,7 @@ def votes(text: str | None) -> str:
 def estimate(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Expectation-maximisation: (posterior of bad per pattern, P(vote | class) as classes x labellers x votes, share of bad).
 
-    Starts from "any symptom is bad", and believes that labellers are better than chance.
+    Starts from "any symptom is bad"; tables are maximum a posteriori estimates under the Dirichlet prior.
     """
     v = np.array([[int(c) for c in p] for p in patterns])
     onehot = v[:, :, None] == np.arange(3)
@@ -126,13 +125,9 @@ def estimate(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tupl
         before = bad
         w = np.stack([(1 - bad) * counts, bad * counts])
         share = (w[1].sum() + 1) / (counts.sum() + 4)
-        # The prior: labellers are right the more often, and few good documents have any one symptom.
-        prior = np.array([[0.002, 0.5, 0.498], [0.3, 0.3, 0.4]])[:, None, :] * max(3.0, PRIOR * counts.sum())
+        prior = np.array([ON_GOOD, ON_BAD])[:, None, :] * max(3.0, PRIOR * counts.sum())
         table = np.einsum("cp,plv->clv", w, onehot) + prior
         table /= table.sum(2, keepdims=True)
-        # Bounds keep a small kind of junk, seen by one labeller only, from passing for a habit of good documents.
-        table[0, :, BAD] = np.minimum(table[0, :, BAD], FALSE_ALARMS)
-        table[1, :, BAD] = np.maximum(table[1, :, BAD], LEAST_HITS)
         logit = np.log(share / (1 - share)) + (onehot * (np.log(table[1]) - np.log(table[0]))[None]).sum((1, 2))
         bad = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         if np.abs(bad - before).max() < 1e-9:
@@ -221,12 +216,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, siz
     return voted, posterior, Scorer(weight, bias)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, size: int = FEATURES, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, size: int = FEATURES, threshold: float = THRESHOLD, with_votes: bool = True) -> tuple[DataFrame, str]:
     """(``docs`` with one struct column (votes, weak, bad, kept) more, that column's name).
 
-    ``weak`` is the labellers' posterior of bad, ``bad`` the scorer's probability, which decides.  Where the labellers find
-    one class only there is nothing to fit and their posterior decides.  Null, empty and blank texts are rejected.  Repeated
-    rows get equal scores, null ids are no matter.  Empty table: no rows.  All input columns stay, whatever their names.
+    ``weak`` is the labellers' posterior of bad, ``bad`` the scorer's probability, which decides; ``with_votes=False`` leaves
+    the first two null unless they decide.  Where the labellers find one class only there is nothing to fit and their posterior
+    decides.  Null, empty and blank texts are rejected; whole texts are read, one at a time.  Repeated rows get equal scores,
+    null ids are no matter; of equal keys at the sample's border all are taken.  Empty table: no rows.  All input columns stay, whatever their names.
     """
     taken = {c.lower() for c in docs.columns}
     name = next(n for i in range(len(taken) + 1) if (n := f"judged{i}") not in taken)
@@ -235,8 +231,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
     @F.pandas_udf(result)
     def judge(text: pd.Series) -> pd.DataFrame:
-        pattern = [votes(t) for t in text]
-        weak = [posterior.get(p, 0.5) for p in pattern]
+        pattern = [votes(t) for t in text] if with_votes or scorer is None else [None] * len(text)
+        weak = [None if p is None else posterior.get(p, 0.5) for p in pattern]
         bad = weak if scorer is None else [1 / (1 + np.exp(-max(-50.0, min(50.0, scorer(t))))) for t in text]
         bad = [1.0 if not t or not t.strip() else b for t, b in zip(text, bad)]
         return pd.DataFrame({"votes": pattern, "weak": weak, "bad": bad, "kept": [b < threshold for b in bad]})
@@ -246,7 +242,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without the rejected rows."""
-    out, name = classify(docs, id_col, text_col, **kw)
+    out, name = classify(docs, id_col, text_col, with_votes=False, **kw)
     return out.where(F.col(f"{name}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
