@@ -1,5 +1,6 @@
 """Each operator on small awkward tables, against brute force."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -168,6 +169,47 @@ def test_shards(docs, spark):
     assert len(total) == 8 and total.max() - total.min() <= 0.03 * total.mean()
 
 
+def test_splitters_equal_brute_force(docs):
+    """Boundaries against all rows in order: as near to the goal as the nearest one, or within the tolerance."""
+    rows_ = docs.where("doc_id != 304").select(sharding.size_bytes(F.col("text")).alias("size"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1).alias("key"),
+                                               F.shiftrightunsigned(F.col("doc_id").bitwiseXOR(F.lit(-(2**63))), 1).alias("key2")).cache()
+    data = sorted((r.key, r.key2, r["size"]) for r in rows_.collect())
+    total, most = sum(x[2] for x in data), max(x[2] for x in data)
+    for shards in (2, 3, 8):
+        allowed = int(sharding.TOLERANCE * total / shards)
+        for n, (a, b) in enumerate(sharding.splitters(rows_, shards)):
+            goal = total * (n + 1) // shards
+            below = sum(s for k, k2, s in data if (k, k2) < (a, b))
+            run, edges = 0, [0]
+            for i, (k, _, s) in enumerate(data):
+                run += s
+                if i + 1 == len(data) or data[i + 1][0] != k:
+                    edges.append(run)
+            nearest = min(abs(e - goal) for e in edges)
+            if b == 0:  # between two texts
+                assert abs(below - goal) <= max(allowed, nearest)
+            else:  # inside a group of copies, which alone misses the tolerance
+                assert nearest > max(allowed, most // 2) and abs(below - goal) <= most
+
+
+def test_awkward_types(spark):
+    maps = spark.createDataFrame([(1, "a", {"x": 1}), (2, "a", {"x": 2}), (2, "a", {"x": 3}), (None, "a", None), (None, None, {"y": 1})], "doc_id long, text string, m map<string,int>")
+    left = exact_dedup.drop_copies(maps).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, None), (2, "a")]
+    assert sorted(map(str, exact_dedup.drop_copies(maps.repartition(5)).collect())) == sorted(map(str, left))  # ties do not go by the partitioning
+    names = spark.createDataFrame([(x, "text " * n) for n, x in enumerate(["a", "None", None, "a>b", "é", "7"])], "doc_id string, text string")
+    out = sharding.shard(names, 2).toPandas()
+    assert len(out) == 6 and set(out.shard) <= {0, 1} and sorted(out.groupby("shard").slot.apply(list).map(sorted).explode()) == sorted(i for n in out.shard.value_counts() for i in range(n))
+    pages = names.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit("same").alias("html"))
+    got = warc.archive_and_read(pages).collect()
+    assert sorted((str(r.page_id), r.page_id is None, r.record_type, r.refers_to) for r in got) == sorted((str(x), x is None, "response" if x == "7" else "revisit", None if x == "7" else "7") for x in ["a", "None", None, "a>b", "é", "7"])
+    vectors = [[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [1e-300, 0.0], [5e-324, 5e-325]]
+    for kind, a, b in (("double", 0.5, 1.5), ("boolean", True, False), ("date", datetime.date(2020, 1, 1), datetime.date(2021, 1, 1))):
+        data = [(i, v, a) for i, v in enumerate(vectors)] + [(9, [1.0, 0.0], b), (10, [1.0, 0.0], None)]
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.group(spark.createDataFrame(data, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+        assert got == {0: (3, 0), 1: (3, 0), 3: (3, 0), 4: (3, 0), 2: (0, 2), 9: (0, 9), 10: (0, 10)}, kind
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     w = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(order)}
@@ -202,6 +244,45 @@ def test_mix(docs):
     assert left.columns == docs.columns and left.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_mix_equals_brute_force(docs, spark):
+    """Slots, blocks and taken words from the definition: points one by one, documents end to end in hash order."""
+    frame = docs.where("doc_id IS NULL OR doc_id != 304").dropDuplicates(["doc_id", "text"])
+    block = 64
+    d, pieces = mixing.mix(frame, block=block)
+    keyed = d.withColumn("h", F.xxhash64("doc_id", "source", "size")).toPandas()
+    keyed["source"] = keyed.source.where(keyed.source.notna(), None)
+    keyed["id"] = [-1 if pd.isna(x) else int(x) for x in keyed.doc_id]
+    sizes = {x: int(keyed["size"][[y == x for y in keyed.source]].sum()) for x in set(keyed.source)}
+    goal = brute_targets(sizes)
+    order = sorted(x for x in sizes if x is not None) + [None] * (None in sizes)
+    total = sum(goal.values())
+    ends = np.cumsum([goal[x] for x in order]) / total
+    slots, given = {}, dict.fromkeys(order, 0)
+    for k in range(int(total // block)):
+        of = order[int(np.searchsorted(ends, (k * mixing.PHI) % 1, side="right"))]
+        slots[k] = (of, given[of])
+        given[of] += 1
+    want_taken, want_blocks = {}, {}
+    for of in order:
+        at, t, n = 0, round(goal[of]), sizes[of]
+        mine = keyed[[y == of for y in keyed.source]].sort_values(["h", "id"])
+        for row, size in zip(mine.row, mine["size"]):
+            want_taken[row] = sum(max(0, min(at + lap * n + size, t) - min(at + lap * n, t)) for lap in range(2))
+            at += size
+        for b in range(-(-t // block)):
+            want_blocks[of, b] = min(t, (b + 1) * block) - b * block
+    got = pieces.toPandas()
+    got["source"] = got.source.where(got.source.notna(), None)
+    taken = got.groupby("row").words.sum().to_dict()
+    assert {r: taken.get(r, 0) for r in want_taken} == want_taken
+    per = {}
+    for x in got.itertuples():
+        per[x.source, x.block] = per.get((x.source, x.block), 0) + x.words
+        if x.block < given[x.source]:  # the points gave this block its slot; blocks left over go by hash
+            assert slots[x.slot] == (x.source, x.block)
+    assert per == {k: v for k, v in want_blocks.items() if v}
+
+
 def test_mix_repeats_rows_with_null_and_repeated_ids(docs, spark):
     left = mixing.repeat_documents(docs).toPandas()
     data = [r for r in rows() if (r[1] or "").split()]
