@@ -23,12 +23,17 @@ def hac(x: Column, kernel: str) -> Column:
     raise ValueError(f"unknown kernel {kernel!r}")
 
 
-def bandwidth_nw94(n: int, as_integer: bool = True) -> float:
+def bandwidth_nw94(n: int, kernel: str = "bartlett", as_integer: bool | None = None) -> float:
+    """The 1994 rule, whole for Bartlett's kernel; the other kernels have the 1991 rule's constants."""
+    if kernel != "bartlett":
+        b = bandwidth_andrews91(n, kernel)
+        return float(math.floor(b)) if as_integer else b
+    as_integer = as_integer is not False
     b = 4.0 * (n / 100.0) ** (2.0 / 9.0)
     return float(math.floor(b)) if as_integer else b
 
 
-def bandwidth_andrews91(n: int, kernel: str = "bartlett") -> float:
+def bandwidth_andrews91(n: int, kernel: str = "qs") -> float:
     scale, power = {"qs": (1.3221, 0.2), "bartlett": (1.1447, 1 / 3), "parzen": (2.6614, 0.2)}[kernel]
     return scale * n**power
 

@@ -20,6 +20,8 @@ from plumbline.functions import draws
 #: Full grids are used up to so many clusters: by policy for signs, and for six points.
 GRID = {"boottest": 11, "strict": 12}
 GRID_WEBB = 4
+#: Fixed value: the interquartile range of the standard normal.
+NORMAL_IQR = 1.3489795003921634
 
 
 @dataclass(frozen=True)
@@ -70,11 +72,9 @@ def scores(df: DataFrame, cols: list[str], cluster: tuple[str, ...], names: list
     return df.groupBy(*cluster).agg(*[F.sum(c).alias(n) for c, n in zip(cols, names or cols)])
 
 
-def draw_sums(parts: DataFrame, cols: list[str], boot: Boot) -> DataFrame:
-    """(b, one column each): Sum over rows of weight(b, row's clusters) * column; a draw per b."""
-    keys = list(boot.cluster)
-    dist = boot.dist
-    n = None
+def _grid(parts: DataFrame, boot: Boot) -> tuple[str, int | None]:
+    """(distribution, draws of the full grid if it is to be used) for the clusters that ``parts`` holds."""
+    keys, dist, n = list(boot.cluster), boot.dist, None
     if len(keys) == 1 and dist in ("rademacher", "webb") and boot.enumerate:
         limit = max(GRID.get(boot.policy, 11), GRID_WEBB) + 1
         few = parts.select(keys[0]).distinct().limit(limit).count()
@@ -82,6 +82,25 @@ def draw_sums(parts: DataFrame, cols: list[str], boot: Boot) -> DataFrame:
             warnings.warn("webb needs six clusters or more; rademacher is used", stacklevel=2)
             dist = "rademacher"
         n = grid_size(few, Boot(boot.n, dist, boot.seed, boot.cluster, boot.policy)) if few < limit else None
+    return dist, n
+
+
+def each_draw(parts: DataFrame, name: str, boot: Boot) -> tuple[DataFrame, int]:
+    """(``parts`` with an array of its cluster's multipliers, one a draw; number of draws); one cluster column."""
+    dist, n = _grid(parts, boot)
+    key = boot.cluster[0]
+    if n is not None:
+        order = parts.select(key).distinct().select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("_j"))  # few clusters
+        grid = draws.enumerated if dist == "rademacher" else draws.enumerated_webb
+        out = parts.join(F.broadcast(order), key)
+        return out.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: grid(b, F.col("_j")))).drop("_j"), n
+    return parts.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(boot.n - 1)), lambda b: draws.multiplier(dist, boot.seed, F.col(key), b))), boot.n
+
+
+def draw_sums(parts: DataFrame, cols: list[str], boot: Boot) -> DataFrame:
+    """(b, one column each): Sum over rows of weight(b, row's clusters) * column; a draw per b."""
+    keys = list(boot.cluster)
+    dist, n = _grid(parts, boot)
     if n is not None:
         order = parts.select(keys[0]).distinct().select(keys[0], (F.row_number().over(Window.orderBy(keys[0])) - 1).alias("_j"))  # few clusters
         parts = parts.join(F.broadcast(order), keys[0])
@@ -118,7 +137,8 @@ def sup_t(sums: DataFrame, cols: list[str], estimates: dict[str, float], level:
     A coordinate without spread gets half-width 0 and does not enter the maximum.
     """
     if scale == "iqr":
-        row = sums.agg(*[((F.percentile(c, 0.75) - F.percentile(c, 0.25)) / 1.34898).alias(c) for c in cols]).first()
+        at = lambda p, c: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)")  # noqa: E731  (type 1: an order statistic)
+        row = sums.agg(*[((at(0.75, c) - at(0.25, c)) / NORMAL_IQR).alias(c) for c in cols]).first()
         se = {c: row[c] for c in cols}
     else:
         se = standard_errors(sums, cols)

@@ -74,7 +74,7 @@ def time_multipliers(df: DataFrame, time: str, n: int, bandwidth: float | None =
     keys = sorted(r[0] for r in df.select(time).distinct().limit(LARGEST + 1).collect())
     if len(keys) > LARGEST:
         raise ValueError(f"{LARGEST} periods at most")
-    bandwidth = bandwidth or (K.bandwidth_nw94(len(keys)) if method == "nw94" else K.bandwidth_andrews91(len(keys), kernel))
+    bandwidth = bandwidth or (K.bandwidth_nw94(len(keys), kernel) if method == "nw94" else K.bandwidth_andrews91(len(keys), kernel))
     pairs = [tuple(r) for r in time_kernel(df, time, max(bandwidth, 1.0), kernel).collect()]
     return _drawn(pairs, keys, n, seed, df, df.schema[time].dataType.simpleString())
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.operators.graph import checkpointed, components
 
@@ -31,16 +30,23 @@ def drop_missing(df: DataFrame, fes: Sequence[str]) -> tuple[DataFrame, int]:
     return df.where(ok), df.where(~ok).count()
 
 
+#: Level tables of up to so many rows are broadcast.
+FEW_LEVELS = 100_000
+
+
+def _side(levels: DataFrame) -> DataFrame:
+    """A table of levels as a join side: counted, then broadcast if small; a hot level's rows are not moved then, else split by the merge join."""
+    levels = checkpointed(levels)
+    return F.broadcast(levels) if levels.count() <= FEW_LEVELS else levels.hint("merge")
+
+
 def drop_singletons(df: DataFrame, fes: Sequence[str], rounds: int = 1000) -> tuple[DataFrame, int]:
     """Drops rows alone in a group of any dimension, again and again; (rows left, number dropped)."""
     before = first = df.count()
     for _ in range(rounds):
         for f in fes:
-            df = df.withColumn(f"_n_{f}", F.count(F.lit(1)).over(Window.partitionBy(f)))
-        keep = F.lit(True)
-        for f in fes:
-            keep = keep & (F.col(f"_n_{f}") > 1)
-        df = checkpointed(df.where(keep).drop(*[f"_n_{f}" for f in fes]))
+            df = df.join(_side(df.groupBy(f).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(f)), f, "left_semi")
+        df = checkpointed(df)
         now = df.count()
         if now == before:
             return df, first - now
@@ -48,10 +54,24 @@ def drop_singletons(df: DataFrame, fes: Sequence[str], rounds: int = 1000) -> tu
     raise RuntimeError("singletons did not settle")
 
 
+def drop_weightless(df: DataFrame, weight: str, fes: Sequence[str], rounds: int = 1000) -> tuple[DataFrame, int]:
+    """Drops rows of groups whose weights add up to nothing, in any dimension, again and again; (rows left, number dropped)."""
+    before = first = df.count()
+    for _ in range(rounds):
+        for f in fes:
+            df = df.join(_side(df.groupBy(f).agg(F.sum(weight).alias("_w")).where("_w > 0").select(f)), f, "left_semi")
+        df = checkpointed(df)
+        now = df.count()
+        if now == before:
+            return df, first - now
+        before = now
+    raise RuntimeError("weightless groups did not settle")
+
+
 def demean(df: DataFrame, cols: Sequence[str], fes: Sequence[str], weight: str | None = None, tol: float = 1e-8, rounds: int = 16000, suffix: str = "") -> DataFrame:
     """Subtracts group means of every dimension (alternating projections).
 
-    One dimension is one window and exact.  With several, each sweep demeans by all dimensions in turn and ends when the
+    Means are partial aggregates, joined back to the rows.  One dimension is exact at once.  With several, each sweep demeans by all dimensions in turn and ends when the
     largest group mean is within ``tol``; rows are checkpointed every few sweeps, so lineage stays short.
     """
     cols, fes = list(cols), list(fes)
@@ -59,12 +79,12 @@ def demean(df: DataFrame, cols: Sequence[str], fes: Sequence[str], weight: str |
     cols = [c + suffix for c in cols]
 
     def once(d: DataFrame, f: str) -> DataFrame:
-        w = Window.partitionBy(f)
-        mean = (lambda c: F.sum(F.col(c) * F.col(weight)).over(w) / F.sum(weight).over(w)) if weight else (lambda c: F.avg(c).over(w))
-        return d.withColumns({c: F.col(c) - mean(c) for c in cols})
+        mean = (lambda c: F.sum(F.col(c) * F.col(weight)) / F.sum(weight)) if weight else F.avg
+        means = _side(d.groupBy(f).agg(*[mean(c).alias(f"_mean_{i}") for i, c in enumerate(cols)]))  # partial sums, a row a level
+        return d.join(means, f).withColumns({c: F.col(c) - F.col(f"_mean_{i}") for i, c in enumerate(cols)}).drop(*[f"_mean_{i}" for i in range(len(cols))])
 
     if len(fes) == 1:
-        return once(out, fes[0])
+        return checkpointed(once(out, fes[0]))
     order = sorted(fes, key=lambda f: -df.select(f).distinct().count())
     for sweep in range(rounds):
         for f in order:
@@ -81,10 +101,11 @@ def demean(df: DataFrame, cols: Sequence[str], fes: Sequence[str], weight: str |
 
 def two_way_demean(df: DataFrame, col: str, unit: str, time: str, name: str) -> DataFrame:
     """x - unit mean - time mean + mean: exact for balanced panels, in one pass."""
-    total = df.agg(F.avg(col).alias("_all"))
-    out = df.crossJoin(F.broadcast(total))  # one row
-    x = F.col(col) - F.avg(col).over(Window.partitionBy(unit)) - F.avg(col).over(Window.partitionBy(time)) + F.col("_all")
-    return out.withColumn(name, x).drop("_all")
+    every = df.agg(F.avg(col)).first()[0]
+    out = df
+    for i, f in enumerate((unit, time)):
+        out = out.join(_side(df.groupBy(f).agg(F.avg(col).alias(f"_m{i}"))), f)
+    return out.withColumn(name, F.col(col) - F.col("_m0") - F.col("_m1") + F.lit(every)).drop("_m0", "_m1")
 
 
 def nested(df: DataFrame, inner: str, outer: str) -> bool:

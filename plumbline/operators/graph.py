@@ -11,10 +11,12 @@ from pyspark.sql.window import Window
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder (one of our own only where none is set)."""
+    """Cut lineage in the shared checkpoint folder; where none is set, and on one machine only, in one of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint()
 

@@ -50,6 +50,16 @@ def gram(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> tuple
     return flat[:-1].reshape(k, k), int(flat[-1])
 
 
+def gram_pairs(df: DataFrame, cols: Sequence[str], pairs: DataFrame, key: str) -> np.ndarray:
+    """X'WX for a full weight matrix: ``pairs`` is (a, b, w) over the rows' ``key``; rows meet by two joins, sums are partial."""
+    left = df.select(F.col(key).alias("a"), *[F.col(c).cast("double").alias(f"l{i}") for i, c in enumerate(cols)])
+    right = df.select(F.col(key).alias("b"), *[F.col(c).cast("double").alias(f"r{i}") for i, c in enumerate(cols)])
+    both = pairs.select("a", "b", "w").join(left, "a").join(right, "b")
+    k = len(cols)
+    row = both.agg(*[F.sum(F.col(f"l{i}") * F.col("w") * F.col(f"r{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(k)]).first()
+    return np.array([[row[f"s{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+
+
 def tsqr(df: DataFrame, cols: Sequence[str], fan: int = 64) -> np.ndarray:
     """R of the QR factorisation of the rows, by a tree of local factorisations (k x k rows a node)."""
     k = len(cols)

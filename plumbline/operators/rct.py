@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import boot as B
 from plumbline.operators.did import _dot, _grams, _with, logit
 from plumbline.operators.graph import checkpointed
+from plumbline.operators.ols import row_draw_sums
 from plumbline.operators.result import Result
 
 TARGETS = ("ATE", "ATT", "ATC")
@@ -22,11 +23,24 @@ def overlapping(df: DataFrame, arm: str, stratum: str, one, zero) -> DataFrame:
     return df.join(has.where("a = 1 AND b = 1").select(stratum), stratum, "left_semi")
 
 
+def strata_dummies(df: DataFrame, stratum: str, order: str) -> tuple[DataFrame, list[str]]:
+    """A 0/1 column for each stratum but the first; strata are numbered by the least ``order`` among their rows."""
+    first = df.groupBy(stratum).agg(F.min(order).alias("_first")).orderBy("_first", stratum).collect()  # strata: few by nature
+    names = {f"{stratum}_{i}": r[0] for i, r in enumerate(first) if i}
+    return df.withColumns({n: F.col(stratum).eqNullSafe(F.lit(v)).cast("double") for n, v in names.items()}), list(names)
+
+
 class RCT:
+    """``trimming``: probabilities beyond [trim, 1 - trim] are clipped, or their rows dropped.
+
+    Draws are clustered by ``boot.cluster``, else by strata, else every key is drawn for itself.
+    """
+
     def __init__(self, df: DataFrame, y: str, arm: str, covariates: Sequence[str] = (), stratum: str | None = None, contrasts: Sequence[tuple] = ((1, 0),), p: float | str | None = None,
-                 trim: float = 0.01, boot: B.Boot | None = None, level: float = 0.95, key: str = "id"):
-        self.__dict__.update(locals())
-        del self.__dict__["self"]
+                 trim: float = 0.01, boot: B.Boot | None = None, level: float = 0.95, key: str = "id", trimming: str = "clip"):
+        if trimming not in ("clip", "drop"):
+            raise ValueError("trimming is clip or drop")
+        self.__dict__.update({k: v for k, v in locals().items() if k != "self"})
 
     def fit(self) -> Result:
         """Parameters are named RA_ATE__1_vs_0 and so on, with _S<k> for the k-th stratum; the band covers all of them."""
@@ -52,9 +66,13 @@ class RCT:
                 part = part.select("_key", *have)
                 stacked = part if stacked is None else stacked.unionByName(part)
             safe = [f"c{i}" for i in range(len(names))]
-            parts = stacked.groupBy("_key").agg(*[F.sum(f"`{n}`").alias(c) for n, c in zip(names, safe)])
-            boot = B.Boot(self.boot.n, self.boot.dist, self.boot.seed, ("_key",), self.boot.policy)
-            draws = checkpointed(B.draw_sums(parts, safe, boot))
+            terms = stacked.select("_key", *[F.col(f"`{n}`").alias(c) for n, c in zip(names, safe)])
+            if self.boot.cluster or self.stratum:
+                boot = B.Boot(self.boot.n, self.boot.dist, self.boot.seed, ("_key",), self.boot.policy)
+                draws = checkpointed(B.draw_sums(terms.groupBy("_key").agg(*[F.sum(c).alias(c) for c in safe]), safe, boot))
+            else:  # a multiplier a row: tasks multiply, draws leave them
+                sums = row_draw_sums(terms, safe, self.boot, ["_key"])
+                draws = self.df.sparkSession.createDataFrame([(b, *map(float, row)) for b, row in enumerate(sums)], ", ".join(["b int", *(f"{c} double" for c in safe)]))
             crit, bands = B.sup_t(draws, safe, dict(zip(safe, out.params.values())), self.level)
             out.diagnostics["crit"] = crit
             for n, c in zip(names, safe):
@@ -66,13 +84,13 @@ class RCT:
     def _contrast(self, rows: DataFrame) -> tuple[dict[str, float], DataFrame]:
         """Estimates and influence terms (per row, scaled so that draws add up to deviations)."""
         by = ["_all"]
-        key = F.col(self.stratum) if self.stratum else (F.col(self.boot.cluster[0]) if self.boot and self.boot.cluster else F.col(self.key))
+        key = F.col(self.boot.cluster[0]) if self.boot and self.boot.cluster else F.col(self.stratum or self.key)  # the user's clusters go before strata
         rows = rows.withColumn("_all", F.lit(0)).withColumn("_1", F.lit(1.0)).withColumn("_key", key.cast("string"))
         cov = [*[f"_c{i}" for i in range(len(self.covariates))], "_1"]
         rows = rows.withColumns({f"_c{i}": F.col(c).cast("double") for i, c in enumerate(self.covariates)}).withColumn("_y", F.col(self.y).cast("double"))
         inv = {}
         for name, w in (("1", F.col("d")), ("0", 1 - F.col("d"))):
-            xx, xy = _grams(rows, by, cov, cov, w)[0,], _grams(rows, by, cov, ["_y"], w)[0,]
+            xx, xy = (m[0,] for m in _grams(rows, by, (cov, cov, w), (cov, ["_y"], w)))
             inv[name] = np.linalg.pinv(xx)
             rows = _with(rows, by, {(0,): inv[name] @ xy[:, 0]}, [f"_b{name}_{i}" for i in range(len(cov))]).withColumn(f"_m{name}", _dot(cov, f"_b{name}_"))
         if self.p is None and self.covariates:
@@ -83,6 +101,8 @@ class RCT:
             rows = rows.withColumn("_p", F.lit(share))
         else:
             rows = rows.withColumn("_p", F.lit(self.p) if not isinstance(self.p, str) else F.col(self.p))
+        if self.trimming == "drop":
+            rows = rows.where(F.col("_p").between(self.trim, 1 - self.trim))
         rows = rows.withColumn("_p", F.least(F.lit(1 - self.trim), F.greatest(F.lit(self.trim), F.col("_p"))))
         target = {"ATE": F.lit(1.0), "ATT": F.col("d"), "ATC": 1 - F.col("d")}
         w1 = {"ATE": F.col("d") / F.col("_p"), "ATT": F.col("d"), "ATC": F.col("d") * (1 - F.col("_p")) / F.col("_p")}
@@ -94,6 +114,8 @@ class RCT:
             aggs += [F.sum(w1[t]).alias(f"w1_{t}"), F.sum(w1[t] * F.col("_y")).alias(f"y1_{t}"), F.sum(w0[t]).alias(f"w0_{t}"), F.sum(w0[t] * F.col("_y")).alias(f"y0_{t}")]
             aggs += [F.sum(target[t] * F.col(c)).alias(f"x_{t}_{i}") for i, c in enumerate(cov)]
         r = rows.agg(*aggs).first()
+        if not all(r[f"w{a}_{t}"] for a in (0, 1) for t in TARGETS):
+            raise ValueError("an arm has no rows left")
         est, psi = {}, {}
         for t in TARGETS:
             n = r[f"n_{t}"]

@@ -37,6 +37,12 @@ def sar(df: DataFrame, edges: DataFrame, y: str, x: Sequence[str], key: str = "i
     return out
 
 
+def exposure(df: DataFrame, edges: DataFrame, unit: str = "id", cohort: str = "g") -> DataFrame:
+    """(cg, unit, e): the weight of each unit's neighbours of cohort cg; units without such neighbours are left out."""
+    treated = df.where(F.col(cohort) > 0).select(F.col(unit).alias("dst"), F.col(cohort).cast("long").alias("cg")).distinct()
+    return edges.join(treated, "dst").groupBy("cg", F.col("src").alias("unit")).agg(F.sum("w").alias("e"))
+
+
 def spatial_did(df: DataFrame, edges: DataFrame, y: str = "y", unit: str = "id", time: str = "t", cohort: str = "g", control: str = "notyet", boot: B.Boot | None = None, level: float = 0.95) -> Result:
     """Per cell, least squares of the long difference (from the period before the cohort's first) on [1, treated, S].
 
@@ -48,12 +54,11 @@ def spatial_did(df: DataFrame, edges: DataFrame, y: str = "y", unit: str = "id",
     at = {t: i for i, t in enumerate(times)}
     found = [(g, t, times[at[g] - 1]) for g in cohorts if g in at and at[g] > 0 for t in times]
     rows = P.cell_rows(df, found, y, unit, time, cohort, control, cutoff="later")
-    exposed = edges.join(df.where(F.col(cohort) > 0).select(F.col(unit).alias("dst"), F.col(cohort).cast("long").alias("cg")).distinct(), "dst").groupBy("cg", F.col("src").alias("unit")).agg(F.sum("w").alias("e"))
-    rows = rows.join(exposed, ["cg", "unit"], "left").withColumn("e", F.when(F.col("d") == 1, 0.0).otherwise(F.coalesce("e", F.lit(0.0))))
+    rows = rows.join(exposure(df, edges, unit, cohort), ["cg", "unit"], "left").withColumn("e", F.when(F.col("d") == 1, 0.0).otherwise(F.coalesce("e", F.lit(0.0))))
     mean = rows.where("d = 0").groupBy("cg", "ct").agg(F.avg("e").alias("mean_e"))
     rows = rows.join(F.broadcast(mean), ["cg", "ct"]).withColumn("s", F.when(F.col("mean_e") > 0, F.col("e") / F.col("mean_e")).otherwise(0.0)).withColumn("one", F.lit(1.0))
     rows, by, x = checkpointed(rows), ["cg", "ct"], ["one", "d", "s"]
-    xx, xy = _grams(rows, by, x, x, F.lit(1.0)), _grams(rows, by, x, ["dy"], F.lit(1.0))
+    xx, xy = _grams(rows, by, (x, x, F.lit(1.0)), (x, ["dy"], F.lit(1.0)))
     inv = {c: np.linalg.pinv(v) for c, v in xx.items()}
     beta = {c: inv[c] @ xy[c][:, 0] for c in xx}
     sizes = {r["g"]: r["n"] for r in df.where(F.col(cohort) > 0).groupBy(F.col(cohort).alias("g")).agg(F.countDistinct(unit).alias("n")).collect()}

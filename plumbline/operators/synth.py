@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import panel as P
+from plumbline.operators.graph import checkpointed
 from plumbline.operators.result import Result
 
 
+#: Treated units or cohorts, counted, that each get a copy of the never-treated units.
+MOST_TASKS = 1_000
+
+
 def simplex_weights(a: np.ndarray, b: np.ndarray, ridge: float = 0.0, intercept: bool = False, start: np.ndarray | None = None, rounds: int = 10_000, tol: float = 1e-10) -> np.ndarray:
     """argmin over the simplex of |a w - b|^2 / rows + ridge |w|^2, by Frank-Wolfe with exact steps."""
     if intercept:
@@ -39,6 +44,44 @@ def simplex_weights(a: np.ndarray, b: np.ndarray, ridge: float = 0.0, intercept:
     return w
 
 
+def softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights that add up to one, their Jacobian): diag(v) - v v'."""
+    e = np.exp(z - z.max())
+    v = e / e.sum()
+    return v, np.diag(v) - np.outer(v, v)
+
+
+def predictor_weights(x1: np.ndarray, x0: np.ndarray, z1: np.ndarray, z0: np.ndarray, rounds: int = 60, step: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """(v, w): predictor weights v on the simplex whose donor weights w = argmin |x1 - x0 w|_v fit the outcomes z1 ~ z0 w best.
+
+    Descends on the logits of v; the inner problem's slope is by differences, through the softmax Jacobian.
+    """
+    k = len(x1)
+    scale = np.where((s := np.column_stack([x0, x1]).std(1)) > 0, s, 1.0)
+    x1, x0 = x1 / scale, x0 / scale[:, None]
+    inner = lambda v: simplex_weights(np.sqrt(v)[:, None] * x0, np.sqrt(v) * x1, rounds=2000)
+    loss = lambda w: float(((z1 - z0 @ w) ** 2).mean())
+    logits = np.zeros(k)
+    v, jacobian = softmax(logits)
+    w = inner(v)
+    best = loss(w)
+    for _ in range(rounds):
+        slope = np.array([(loss(inner(np.maximum(v + 1e-4 * np.eye(k)[i], 0) / (1 + 1e-4))) - best) / 1e-4 for i in range(k)])
+        move = jacobian @ slope
+        if np.abs(move).max() < 1e-12:
+            break
+        trial = logits - step * move / np.abs(move).max()
+        tv, tj = softmax(trial)
+        tw = inner(tv)
+        if (value := loss(tw)) < best - 1e-12:
+            logits, v, jacobian, w, best = trial, tv, tj, tw, value
+        else:
+            step /= 2
+            if step < 1e-3:
+                break
+    return v, w
+
+
 def _wide(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
     m = pdf.pivot(index="unit", columns="t", values="y").sort_index()
     if m.isna().any().any():
@@ -51,7 +94,9 @@ def _tasks(df: DataFrame, y: str, unit: str, time: str, cohort: str, per_unit: b
     """Rows (task, start, unit, t, y, treated): each treated unit or cohort with the never-treated."""
     rows = df.select(F.col(unit).alias("unit"), F.col(time).cast("long").alias("t"), F.col(y).cast("double").alias("y"), F.col(cohort).cast("long").alias("g"))
     own = rows.where("g > 0").select((F.col("unit") if per_unit else F.col("g")).cast("string").alias("task"), F.col("g").alias("start"), "unit", "t", "y", F.lit(True).alias("treated"))
-    tasks = own.select("task", "start").distinct()
+    tasks = checkpointed(own.select("task", "start").distinct())
+    if (n := tasks.count()) > MOST_TASKS:
+        raise ValueError(f"{n} treated units or cohorts: {MOST_TASKS} at most share the donors")
     return own.unionByName(rows.where("g = 0").crossJoin(F.broadcast(tasks)).select("task", "start", "unit", "t", "y", F.lit(False).alias("treated")))
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import boot as B
 from plumbline.operators import graph, panel
+from plumbline.operators import linear as L
 from plumbline.operators.iv import GMM, IV
 from plumbline.operators.ols import OLS
 
@@ -47,7 +49,12 @@ def _call(term: str) -> tuple[str, str] | None:
 
 def read_terms(rhs: str) -> tuple[list[str], bool, list[str]]:
     """(terms, intercept, absorbed effects) of a right-hand side; ``0 +``, ``+ 0`` and ``- 1`` take the intercept out."""
-    rhs = re.sub(r"-\s*1(?![\w.])", "+ 0", rhs)
+    depth, plain = 0, []
+    for c in rhs:  # only outside brackets does "- 1" stand for no intercept
+        depth += (c in "([") - (c in ")]")
+        plain.append(" " if depth else c)
+    for m in reversed(list(re.finditer(r"-\s*1(?![\w.])", "".join(plain)))):
+        rhs = rhs[: m.start()] + "+ 0" + rhs[m.end() :]
     terms, intercept, fes = [], True, []
     for t in split_top(rhs):
         if t in ("0", "-1"):
@@ -118,23 +125,78 @@ def parse(formula: str, iv: str | None = None, options: str | None = None) -> Pa
     return out
 
 
+#: Functions of one column that a formula may name, with or without ``np.``.
+FUNCTIONS = {"log": F.log, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs, "log1p": F.log1p, "log10": F.log10, "log2": F.log2, "expm1": F.expm1,
+             "sin": F.sin, "cos": F.cos, "tan": F.tan, "floor": F.floor, "ceil": F.ceil, "sign": F.signum, "square": lambda c: c * c}
+_ARITHMETIC = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Pow: lambda a, b: F.pow(a, b), ast.Mod: lambda a, b: F.pmod(a, b)}
+_COMPARE = {ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
+
+
+def expression(text: str, df: DataFrame) -> Column:
+    """A column of arithmetic, comparisons and FUNCTIONS over columns: ``x ** 2``, ``np.log(x + 1)``, ``(x > 3)``."""
+
+    def at(node) -> Column:
+        if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
+            return _ARITHMETIC[type(node.op)](at(node.left), at(node.right))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
+            return -at(node.operand) if isinstance(node.op, ast.USub) else at(node.operand)
+        if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in _COMPARE:
+            return _COMPARE[type(node.ops[0])](at(node.left), at(node.comparators[0])).cast("double")
+        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float, str)):
+            return F.lit(node.value if isinstance(node.value, str) else float(node.value))
+        if isinstance(node, ast.Name):
+            if node.id not in df.columns:
+                raise ValueError(f"unknown column {node.id!r}")
+            return F.col(node.id)
+        if isinstance(node, ast.Call) and len(node.args) in (1, 2):
+            name = node.func.attr if isinstance(node.func, ast.Attribute) and getattr(node.func.value, "id", "") in ("np", "numpy") else getattr(node.func, "id", None)
+            if name == "I" and len(node.args) == 1:
+                return at(node.args[0])
+            if name in FUNCTIONS and len(node.args) == 1:
+                return FUNCTIONS[name](at(node.args[0])).cast("double")
+            if name in ("power", "maximum", "minimum") and len(node.args) == 2:
+                return {"power": F.pow, "maximum": F.greatest, "minimum": F.least}[name](*map(at, node.args))
+            raise ValueError(f"unknown function {name!r}")
+        raise ValueError(f"can't read {text!r}")
+
+    return at(ast.parse(text.strip(), mode="eval").body).cast("double")
+
+
+def _transform(term: str) -> bool:
+    """Whether a term is an expression over columns rather than an operator of the language."""
+    m = re.match(r"\s*(?:(np|numpy)\.)?([A-Za-z_]\w*)\(", term)
+    return bool(m and term.strip().endswith(")") and (m[1] or m[2] == "I" or m[2] in FUNCTIONS or m[2] in ("power", "maximum", "minimum")))
+
+
+#: Levels of a factor that become columns, at most: absorb larger ones with fe().
+MOST_LEVELS = 1000
+
+
 def _levels(df: DataFrame, col: str) -> list:
-    return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
+    found = sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(MOST_LEVELS + 1).collect())
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{col!r} has more than {MOST_LEVELS} levels: absorb it with fe({col})")
+    return found
 
 
 def build(df: DataFrame, terms: list[str], unit: str | None = None, time: str | None = None, weights: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
-    """Adds a column per term: names, products (``a:b``, ``a#b``), ``a*b`` and ``a##b``, ``i.g`` and ``ib3.g`` and C(g), lags, differences, spatial lags."""
+    """Adds a column per term: names, expressions (``I(x ** 2)``, ``np.log(x)``), products (``a:b``, ``a#b``), ``a*b`` and ``a##b``, ``i.g`` and ``ib3.g`` and C(g), lags, differences, spatial lags."""
     cols: list[str] = []
 
     def factor(d, t) -> tuple[DataFrame, list[str]]:
         t = t.strip()
         t = t.removeprefix("c.")
-        if m := re.fullmatch(r"(?:i|ib(\w+))\.(\w+)|C\((\w+)\)", t):
-            col = m[2] or m[3]
+        if m := re.fullmatch(r"(?:i|ib(\w+))\.(\w+)|C\((\w+)(?:\s*,\s*Treatment(?:\(\s*(?:reference\s*=\s*)?['\"]?([^'\")]*)['\"]?\s*\))?)?\)", t):
+            col, wanted = m[2] or m[3], m[1] or m[4]
             levels = _levels(d, col)
-            base = next((v for v in levels if str(v) == m[1]), levels[0]) if levels else None
+            base = next((v for v in levels if str(v) == wanted), None if wanted else levels[0]) if levels else None
+            if wanted and base is None:
+                raise ValueError(f"{col!r} has no level {wanted!r}")
             made = {f"{col}[{v}]": F.when(F.col(col) == F.lit(v), 1.0).otherwise(0.0) for v in levels if v != base}
             return d.withColumns(made), list(made)
+        if _transform(t):
+            name = re.sub(r"\s+", " ", t)
+            return d.withColumn(name, expression(t, d)), [name]
         if m := re.fullmatch(r"([LFD])(\d*)\.(\w+)", t):
             t = f"{ {'L': 'lag', 'F': 'lead', 'D': 'diff'}[m[1]]}({m[3]},{m[2] or 1})".replace(" ", "")
         if c := _call(t):
@@ -179,7 +241,9 @@ def build(df: DataFrame, terms: list[str], unit: str | None = None, time: str |
         return d, names
 
     for t in terms:
-        if "##" in t or ("*" in t and not _call(t)):
+        if _transform(t):
+            df, names = factor(df, t)
+        elif "##" in t or ("*" in t and not _call(t)):
             parts = re.split(r"##|\*", t)
             for p in parts:
                 df, names = factor(df, p)
@@ -206,11 +270,14 @@ def estimate(formula: str, df: DataFrame, iv: str | None = None, options: str |
     if cluster := p.options.get("cluster"):
         b = boot or B.Boot()
         boot = B.Boot(b.n, b.dist, b.seed, cluster, b.policy, b.ssc, b.enumerate)
+    if _transform(p.y):
+        df, p.y = df.withColumn("_y", expression(p.y, df)), "_y"
     df, exog = build(df, p.terms, unit, time, weights)
     df, names = _plain(df, exog, "_x")
     if not p.endog:
         fit = OLS(p.y, list(names), df, p.fes, boot, p.options.get("constraints"), p.intercept, dialect).fit()
     else:
+        absorbed = 0
         df, en = build(df, p.endog, unit, time, weights)
         df, zs = build(df, p.instruments, unit, time, weights)
         df, en = _plain(df, en, "_e")
@@ -220,9 +287,12 @@ def estimate(formula: str, df: DataFrame, iv: str | None = None, options: str |
             from plumbline.operators import fe
 
             df, keys = fe.interact(fe.drop_missing(df, [f for t in p.fes for f in t.split(":")])[0], p.fes)
+            keys = fe.prune_nested(df, keys)
+            df, _ = fe.drop_singletons(df.where(L.finite([p.y, *names, *zs])), keys)
+            absorbed = fe.absorbed(fe.degrees_of_freedom(df, keys, boot.cluster if boot else ())) if boot and boot.ssc.get("fixef.K", "none") in ("full", "nested") else 0
             df = fe.demean(df, [p.y, *names, *zs], keys)
         cls, extra = (GMM, {"weight": p.options.get("weight", "identity")}) if method == "gmm" else (IV, {})
-        fit = cls(p.y, list(en), [n for n in names if n not in en], list(zs), df, boot, p.intercept and not p.fes, **extra).fit()
+        fit = cls(p.y, list(en), [n for n in names if n not in en], list(zs), df, boot, p.intercept and not p.fes, absorbed=absorbed, **extra).fit()
     fit.params = {names.get(k, k): v for k, v in fit.params.items()}
     fit.se = {names.get(k, k): v for k, v in fit.se.items()}
     return fit

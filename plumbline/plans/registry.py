@@ -11,6 +11,7 @@ from plumbline.operators import boot as B
 from plumbline.operators import dependent, did, fe, gls, graph, iv, linear, panel, quantile, rct, spatial, synth
 from plumbline.operators.ols import OLS, linear_form
 from plumbline.plans import oracles
+from plumbline.plans.formula import estimate
 from plumbline.sources.datasets import dataset, table
 
 QUERIES: dict = {}
@@ -54,8 +55,8 @@ def ols_multi(spark, sf_dir):
 
 @query
 def ols_categorical(spark, sf_dir):
-    d = dataset(spark, sf_dir, "lines").withColumn("flag_N", (F.col("flag") == "N").cast("double")).withColumn("flag_R", (F.col("flag") == "R").cast("double"))
-    return estimates(OLS("y", ["q", "flag_N", "flag_R"], d).fit())
+    out = estimate("y ~ q + i.flag", dataset(spark, sf_dir, "lines")).coef()
+    return out.select(F.regexp_replace("param", r"\[(\w)\]", "_$1").alias("param"), r("estimate").alias("estimate"))
 
 
 @query
@@ -195,12 +196,22 @@ def quantile_type1(spark, sf_dir):
     return d.groupBy("o_orderpriority").agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY o_totalprice)").alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
 
 
+def _supplier_draws(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_acctbal") / 1000).alias("v"))
+    return B.draw_sums(d, ["v"], B.Boot(DRAWS, seed=5, cluster=("key",), enumerate=False))
+
+
 @query
 def bplus1_quantile(spark, sf_dir):
-    """The ceil(0.95 (B + 1))-th smallest order total of each priority."""
-    w = Window.partitionBy("o_orderpriority")
-    d = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(w.orderBy("o_totalprice"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return d.where(F.col("i") == F.least(F.ceil(0.95 * (F.col("n") + 1) - 1e-9), F.col("n"))).select("o_orderpriority", F.col("o_totalprice").alias("value"))
+    draws = [x.v for x in _supplier_draws(spark, sf_dir).collect()]
+    return spark.createDataFrame([(round(B.bplus1_quantile(draws, 0.05), DIGITS) + 0.0,)], "value double")
+
+
+@query
+def draw_iqr_band(spark, sf_dir):
+    """The band whose scale is the draws' type-1 interquartile range."""
+    _, bands = B.sup_t(_supplier_draws(spark, sf_dir), ["v"], {"v": 5.0}, scale="iqr")
+    return spark.createDataFrame([bands["v"]], "se double, lower double, upper double").select(*[r(c).alias(c) for c in ("se", "lower", "upper")])
 
 
 @query
@@ -257,9 +268,35 @@ def iv_sargan(spark, sf_dir):
     return facts(_iv(spark, sf_dir).fit(), "sargan")
 
 
+def _rounded(coef: DataFrame) -> DataFrame:
+    return coef.select("param", r("estimate").alias("estimate"), r("se").alias("se"))
+
+
 @query
 def iv_cluster_boot_se(spark, sf_dir):
-    return _iv(spark, sf_dir, boot=B.Boot(DRAWS, seed=3, cluster=("cluster",))).fit().coef()
+    out = _iv(spark, sf_dir, boot=B.Boot(DRAWS, seed=3, cluster=("cluster",))).fit().coef()
+    return out.select("param", r("estimate", 5).alias("estimate"), r("se", 4).alias("se"))
+
+
+@query
+def iv_rank(spark, sf_dir):
+    return facts(_iv(spark, sf_dir, boot=B.Boot(2, cluster=("cluster",))).fit(), "kp_rk_lm", "kp_rk_wald_f")
+
+
+@query
+def iv_effective_f(spark, sf_dir):
+    return facts(_iv(spark, sf_dir, boot=B.Boot(2, cluster=("cluster",))).fit(), "mop_effective_f")
+
+
+@query
+def gmm_user_weight(spark, sf_dir):
+    return estimates(_iv(spark, sf_dir, iv.GMM, weight=[[float((i + 1) * (i == j)) for j in range(4)] for i in range(4)]).fit())
+
+
+@query
+def gmm_2step_boot_se(spark, sf_dir):
+    """The weight matrix estimated anew in every draw."""
+    return _iv(spark, sf_dir, iv.GMM, weight="two-step", boot=B.Boot(DRAWS, seed=3, cluster=("cluster",))).fit().coef()
 
 
 @query
@@ -280,15 +317,37 @@ def gmm_2step(spark, sf_dir):
 @query
 def anderson_rubin(spark, sf_dir):
     stat, crit, reject = iv.anderson_rubin(dataset(spark, sf_dir, "ivset"), "y", "x", ["w"], ["z1", "z2"], 0.0, B.Boot(DRAWS, cluster=("cluster",)))
-    return spark.createDataFrame([(stat, crit, reject)], "statistic double, critical double, reject boolean")
+    return spark.createDataFrame([(round(stat, 4), round(crit, 4), reject)], "statistic double, critical double, reject boolean")
 
 
 @query
 def wald_ols(spark, sf_dir):
     fit = OLS("y", ["q", "d", "x"], dataset(spark, sf_dir, "lines"), boot=B.Boot(DRAWS, seed=7, cluster=("supp",))).fit()
-    rm, q, _ = linear.parse_constraints("d = 0; x = 0", fit.extra["columns"])
+    rm, q, _ = linear.parse_constraints("d = 0; x = 0", ["q", "d", "x", "_cons"])
     stat, draws = B.wald(fit.extra["draws"], fit.extra["beta"], rm, q)
-    return spark.createDataFrame([(stat, B.bplus1_quantile(draws, 0.05))], "statistic double, critical double")
+    return spark.createDataFrame([(round(stat, 4), round(B.bplus1_quantile(draws, 0.05), 4))], "statistic double, critical double")
+
+
+def _under_null(spark, sf_dir):
+    return OLS("y", ["q", "d", "x"], dataset(spark, sf_dir, "lines"), boot=B.Boot(DRAWS, seed=7, cluster=("supp",)), null="x = 0").fit()
+
+
+@query
+def ols_null_boot_se(spark, sf_dir):
+    rows = [(k, float(v)) for k, v in _under_null(spark, sf_dir).extra["null_se"].items()]
+    return spark.createDataFrame(rows, "param string, se double").select("param", r("se").alias("se"))
+
+
+@query
+def ols_null_wald(spark, sf_dir):
+    return facts(_under_null(spark, sf_dir), "wald", "wald_crit")
+
+
+@query
+def ols_row_boot_se(spark, sf_dir):
+    """Rows that repeat, and no key: each row is drawn for itself."""
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_linestatus") == "F").cast("double").alias("y"), (F.col("l_returnflag") == "R").cast("double").alias("x"))
+    return _rounded(OLS("y", ["x"], d, boot=B.Boot(DRAWS, seed=4)).fit().coef())
 
 
 # event studies
@@ -356,12 +415,13 @@ def es_reg(spark, sf_dir):
 
 @query
 def es_ipw(spark, sf_dir):
-    return _study(spark, sf_dir, method="ipw", covariates=["x"]).extra["att_gt"]
+    return _study(spark, sf_dir, method="ipw", covariates=["x"]).extra["att_gt"].select("g", "t", "tau", r("att").alias("att"), "n_treat")
 
 
 @query
 def es_dr(spark, sf_dir):
-    return _study(spark, sf_dir, method="dr", covariates=["x"], boot=B.Boot(DRAWS, cluster=("cluster",))).band()
+    band = _study(spark, sf_dir, method="dr", covariates=["x"], boot=B.Boot(DRAWS, cluster=("cluster",))).band()
+    return band.select("side", "tau", r("estimate", 5).alias("estimate"), r("se", 5).alias("se"), r("lower", 4).alias("lower"), r("upper", 4).alias("upper"))
 
 
 @query
@@ -375,7 +435,7 @@ def dr_const_only(spark, sf_dir):
 
 @query
 def dr_cross_fitted(spark, sf_dir):
-    return _study(spark, sf_dir, covariates=["x"], folds=3).extra["att_gt"]
+    return _study(spark, sf_dir, covariates=["x"], folds=3).extra["att_gt"].select("g", "t", "tau", r("att").alias("att"), "n_treat")
 
 
 @query
@@ -426,6 +486,12 @@ def rct_band(spark, sf_dir):
     return rct.RCT(dataset(spark, sf_dir, "rct"), "y", "arm", ["x"], boot=B.Boot(DRAWS)).fit().band()
 
 
+@query
+def rct_cluster_se(spark, sf_dir):
+    out = rct.RCT(dataset(spark, sf_dir, "rct"), "y", "arm", p=0.5, stratum="stratum", boot=B.Boot(DRAWS, seed=2, cluster=("nation",))).fit().coef()
+    return _rounded(out.where("param IN ('RA_ATE__1_vs_0', 'IPW_ATE__1_vs_0')"))
+
+
 @query
 def rct_overlap(spark, sf_dir):
     return rct.overlapping(dataset(spark, sf_dir, "rct"), "arm", "stratum", 1, 0).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
@@ -471,7 +537,7 @@ def moran_panel(spark, sf_dir):
 def moran_permutation(spark, sf_dir):
     d, e = _nations(spark, sf_dir)
     i, lo, hi = graph.moran_permutation(d, e, "x", n=199)
-    return spark.createDataFrame([(i, lo, hi)], "moran double, lower double, upper double")
+    return spark.createDataFrame([tuple(round(float(v), DIGITS) + 0.0 for v in (i, lo, hi))], "moran double, lower double, upper double")
 
 
 @query
@@ -484,7 +550,7 @@ def sar_instruments(spark, sf_dir):
 @query
 def sar(spark, sf_dir):
     d, e = _nations(spark, sf_dir)
-    return spatial.sar(d, e, "y", ["x"]).coef()
+    return spatial.sar(d, e, "y", ["x"]).coef().select("param", r("estimate", 4).alias("estimate"))
 
 
 @query
@@ -495,16 +561,18 @@ def radius_components(spark, sf_dir):
 
 @query
 def exposure(spark, sf_dir):
-    """Weight of each nation's neighbours whose number is even."""
-    e = dataset(spark, sf_dir, "edges")
-    return e.where("dst % 2 = 0").groupBy("src").agg(r(F.sum("w")).alias("exposure"))
+    """Weight of each nation's neighbours by their cohort."""
+    d, e = _nations(spark, sf_dir)
+    d = d.withColumn("g", F.when(F.col("id") % 5 > 0, 1996 + F.col("id") % 5).otherwise(0))
+    return spatial.exposure(d, e).select("cg", "unit", r("e").alias("exposure"))
 
 
 @query
 def spatial_did(spark, sf_dir):
     d = dataset(spark, sf_dir, "panel").groupBy(F.col("cluster").alias("id"), "t").agg(F.avg("y").alias("y"))
-    d = d.withColumn("g", F.when(F.col("id") % 5 == 0, F.lit(1998)).when(F.col("id") % 5 == 1, F.lit(1999)).otherwise(F.lit(0)))
-    return spatial.spatial_did(d, dataset(spark, sf_dir, "edges"), boot=B.Boot(DRAWS, cluster=("unit",))).band()
+    d = d.withColumn("g", F.when(F.col("id").isin(0, 5, 7), F.lit(1998)).when(F.col("id").isin(1, 3), F.lit(1999)).otherwise(F.lit(0)))
+    band = spatial.spatial_did(d, dataset(spark, sf_dir, "edges"), boot=B.Boot(DRAWS, cluster=("unit",))).band()
+    return band.select("side", "tau", r("estimate").alias("estimate"), r("se").alias("se"), r("lower", 4).alias("lower"), r("upper", 4).alias("upper"))
 
 
 # generalised least squares
@@ -524,12 +592,32 @@ def gls_pw_twostep(spark, sf_dir):
 
 @query
 def gls_pw_iterated(spark, sf_dir):
-    return gls.ar1(dataset(spark, sf_dir, "monthly"), "y", ["x"], "s", "t").coef()
+    out = gls.ar1(dataset(spark, sf_dir, "monthly"), "y", ["x"], "s", "t")
+    return estimates(out).unionByName(spark.createDataFrame([("rho", out.diagnostics["rho"])], "param string, estimate double").select("param", r("estimate").alias("estimate")))
+
+
+@query
+def gls_ar1_boot_se(spark, sf_dir):
+    """Every draw has a rho of its own; five units, so the full grid of signs."""
+    out = gls.ar1(dataset(spark, sf_dir, "monthly"), "y", ["x"], "s", "t", iterate=False, boot=B.Boot(DRAWS))
+    return out.coef().select("param", r("se").alias("se"))
 
 
 @query
 def gls_psar1(spark, sf_dir):
-    return gls.psar1(dataset(spark, sf_dir, "monthly"), "y", ["x"], "s", "t").coef()
+    return estimates(gls.psar1(dataset(spark, sf_dir, "monthly"), "y", ["x"], "s", "t"))
+
+
+@query
+def gls_psar1_boot_se(spark, sf_dir):
+    """Every draw has a rho for each unit."""
+    return gls.psar1(dataset(spark, sf_dir, "monthly"), "y", ["x"], "s", "t", boot=B.Boot(DRAWS)).coef().select("param", r("se").alias("se"))
+
+
+@query
+def gls_exch_boot_se(spark, sf_dir):
+    """Every draw has a correlation of its own."""
+    return gls.exchangeable(dataset(spark, sf_dir, "ordered"), "y", ["x"], "id", boot=B.Boot(DRAWS, seed=8)).coef().select("param", r("se").alias("se"))
 
 
 @query
@@ -569,6 +657,157 @@ def ivqr_small(spark, sf_dir):
     return quantile.ivqr(dataset(spark, sf_dir, "ivset"), "y", "x", ["w"], ["z1"], points=21, rounds=3).coef()
 
 
+@query
+def gls_full(spark, sf_dir):
+    """Errors of nations in one region are alike: the precision matrix by its entries."""
+    d, e = _nations(spark, sf_dir)
+    pairs = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("w") * -0.5).alias("w")).unionByName(d.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("w")))
+    return estimates(gls.full(d, "y", ["x"], pairs, "id"))
+
+
+@query
+def rct_strata_dummies(spark, sf_dir):
+    d, names = rct.strata_dummies(dataset(spark, sf_dir, "rct"), "stratum", "id")
+    return estimates(OLS("y", ["arm", *names], d).fit())
+
+
+@query
+def rct_trim_drop(spark, sf_dir):
+    """Rows whose probability, here by stratum, lies outside the middle are left out."""
+    d = _by_stratum_share(spark, sf_dir)
+    return estimates(rct.RCT(d, "y", "arm", p="p", trim=0.45, trimming="drop").fit(), "IPW_ATE__1_vs_0")
+
+
+@query
+def es_common_taus(spark, sf_dir):
+    return _taus(_study(spark, sf_dir, weights="equal", common_taus=True))
+
+
+@query
+def es_given_propensity(spark, sf_dir):
+    d = dataset(spark, sf_dir, "panel").withColumn("pi", F.lit(0.3) + F.col("cluster") / 100)
+    return did.EventStudy(d, method="ipw", pihat="pi").fit().extra["att_gt"].select("g", "t", "tau", r("att").alias("att"), "n_treat")
+
+
+@query
+def fe_weightless(spark, sf_dir):
+    """Suppliers whose weights are all zero drop out before demeaning."""
+    d = dataset(spark, sf_dir, "lines").withColumn("wt", F.when(F.col("flag") == "R", F.col("d")).otherwise(0.0))
+    left, gone = fe.drop_weightless(d, "wt", ["part"])
+    return left.agg(F.count(F.lit(1)).alias("kept"), r(F.sum("wt"), 4).alias("weight")).withColumn("dropped", F.lit(gone).cast("long"))
+
+
+@query
+def duplicate_columns(spark, sf_dir):
+    d = dataset(spark, sf_dir, "lines").withColumn("again", F.col("q")).withColumn("flat", F.lit(2.0)).withColumn("most", F.greatest("d", F.lit(0.0)))
+    cols = ["q", "d", "again", "most", "flat"]
+    same, fixed = linear.duplicate_columns(d, cols), linear.constant_columns(d, cols)
+    return spark.createDataFrame([(c, c in same, c in fixed) for c in cols], "name string, duplicate boolean, constant boolean")
+
+
+@query
+def finite_mask(spark, sf_dir):
+    """Logs of nothing, negative roots and missing lags are left out."""
+    d = panel.lag(dataset(spark, sf_dir, "gappy"), "v", 1, name="past").withColumn("l", F.log(F.col("v") - 20)).withColumn("z", F.lit(1.0) / F.nullif(F.col("t") - 3, F.lit(0)))
+    return d.where(linear.finite(["past", "l", "z"])).agg(F.count(F.lit(1)).alias("n"), r(F.sum("l"), 4).alias("total"))
+
+
+@query
+def first_difference(spark, sf_dir):
+    return panel.first_difference(dataset(spark, sf_dir, "gappy"), "v").select("id", "t", F.col("d_v"))
+
+
+@query
+def fe_missing_ids(spark, sf_dir):
+    d = dataset(spark, sf_dir, "ordered").withColumn("a", F.when(F.col("x") < 4, F.col("x"))).withColumn("b", F.when(F.col("y") < 5, F.col("t")))
+    left, gone = fe.drop_missing(d, ["a", "b"])
+    return left.agg(F.count(F.lit(1)).alias("kept")).withColumn("dropped", F.lit(gone).cast("long"))
+
+
+@query
+def kernel_density(spark, sf_dir):
+    """The normal density of a share of balances at Silverman's bandwidth."""
+    d = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") / 1000).alias("v"))
+    n, s, q = d.agg(F.count(F.lit(1)), F.stddev_samp("v"), F.expr("percentile(v, 0.75) - percentile(v, 0.25)")).first()
+    h = 0.9 * min(s, q / 1.34) * n ** -0.2
+    return d.agg(r(F.avg(F.exp(-F.pow((F.col("v") - 4) / h, F.lit(2.0)) / 2) / (2 * 3.141592653589793) ** 0.5) / h, 8).alias("density"))
+
+
+@query
+def gls_exchangeable(spark, sf_dir):
+    return estimates(gls.exchangeable(dataset(spark, sf_dir, "ordered"), "y", ["x"], "id"))
+
+
+@query
+def gls_corc(spark, sf_dir):
+    out = gls.ar1(dataset(spark, sf_dir, "monthly"), "y", ["x"], "s", "t", head="corc", iterate=False)
+    return estimates(out)
+
+
+@query
+def mammen_draws(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    sums = [r(F.sum(B.draws.multiplier(k, 5, F.col("key"), F.col("b"))), 8).alias(k) for k in ("mammen", "webb", "exp", "normal")]
+    return d.groupBy("b").agg(*sums).withColumn("b", F.col("b").cast("long"))
+
+
+@query
+def fe_recovered(spark, sf_dir):
+    """Suppliers' effects of a fit with absorbed suppliers."""
+    d = dataset(spark, sf_dir, "lines")
+    fit = OLS("y", ["q"], d, fes=["supp"]).fit()
+    out = fe.recover(d.withColumn("_r", F.col("y") - linear_form(["q"], list(fit.params.values()))), "_r", ["supp"])["supp"]
+    return out.select("supp", r("effect", 5).alias("effect"))
+
+
+# formulas
+
+
+@query
+def formula_factor(spark, sf_dir):
+    return _named(estimate("y ~ q + C(flag, Treatment(reference='R'))", dataset(spark, sf_dir, "lines")))
+
+
+def _named(fit) -> DataFrame:
+    return fit.coef().select("param", r("estimate").alias("estimate"))
+
+
+@query
+def formula_product(spark, sf_dir):
+    return _named(estimate("y ~ q*d + i.status", dataset(spark, sf_dir, "lines")))
+
+
+@query
+def formula_transform(spark, sf_dir):
+    return _named(estimate("np.log(y) ~ np.log(q) + I(d ** 2) + I((x > 0.3) * d)", dataset(spark, sf_dir, "lines")))
+
+
+@query
+def formula_constraint(spark, sf_dir):
+    return _named(estimate("y ~ q + d + x", dataset(spark, sf_dir, "lines"), options="constraints(d = x)"))
+
+
+@query
+def formula_iv(spark, sf_dir):
+    return _named(estimate("y ~ x + w", dataset(spark, sf_dir, "ivset"), iv="(x ~ z1 + z2)"))
+
+
+@query
+def formula_fe(spark, sf_dir):
+    return _named(estimate("y ~ q + d + fe(supp)", dataset(spark, sf_dir, "lines")))
+
+
+@query
+def formula_lag(spark, sf_dir):
+    return _named(estimate("v ~ lag(v, 1)", dataset(spark, sf_dir, "gappy"), unit="id", time="t"))
+
+
+@query
+def fe_twoway_unbalanced(spark, sf_dir):
+    fit = OLS("y", ["x"], dataset(spark, sf_dir, "ordered"), fes=["id", "t"]).fit()
+    return estimates(fit, "x").select("estimate")
+
+
 # scalar functions
 
 

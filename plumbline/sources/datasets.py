@@ -26,13 +26,15 @@ SQL = {
     "ivset": """SELECT l_extendedprice / 10000 AS y, l_quantity / 10 AS x, p_retailprice / 1000 AS z1, CAST(p_size AS DOUBLE) / 10 AS z2,
         l_discount * 10 AS w, l_suppkey AS cluster FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
     "rct": """SELECT c_custkey AS id, c_acctbal / 1000 AS y, CASE WHEN substr(md5(CAST(c_custkey AS STRING)), 1, 1) < '8' THEN 1 ELSE 0 END AS arm,
-        c_mktsegment AS stratum, CAST(c_nationkey AS DOUBLE) / 10 AS x FROM {customer}""",
+        c_mktsegment AS stratum, CAST(c_nationkey AS DOUBLE) / 10 AS x, c_nationkey AS nation FROM {customer}""",
     "gappy": """SELECT l_orderkey AS id, l_linenumber AS t, sum(l_quantity) AS v FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "lines": """SELECT l_extendedprice / 10000 AS y, l_quantity / 10 AS q, l_discount * 10 AS d, l_tax * 10 AS x, l_suppkey AS supp, l_partkey AS part,
         l_returnflag AS flag, l_linestatus AS status FROM {lineitem}""",
     "spend": """SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal / 1000 AS x, n_regionkey AS region, c_mktsegment AS segment,
         coalesce(o.y, CAST(0 AS DOUBLE)) / 100000 AS y FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey
         LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS y FROM {orders} GROUP BY o_custkey) o ON o.o_custkey = c_custkey""",
+    # customers' years with orders: a panel with gaps
+    "ordered": """SELECT o_custkey AS id, year(o_orderdate) AS t, sum(o_totalprice) / 100000 AS y, CAST(count(*) AS DOUBLE) AS x FROM {orders} GROUP BY o_custkey, year(o_orderdate)""",
     "monthly": """SELECT o_orderpriority AS s, year(o_orderdate) * 12 + month(o_orderdate) AS t, sum(o_totalprice) / 1000000 AS y,
         CAST(count(*) AS DOUBLE) / 100 AS x FROM {orders} GROUP BY o_orderpriority, year(o_orderdate) * 12 + month(o_orderdate)""",
 }
