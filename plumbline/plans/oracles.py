@@ -578,3 +578,11 @@ SQL["spatial_did"] = f"""WITH e AS ({EDGES}), p AS (SELECT cluster AS id, t, avg
     cr AS (SELECT side, m AS crit FROM (SELECT side, m, row_number() OVER (PARTITION BY side ORDER BY m) AS i FROM ms) WHERE i = ceil(0.95 * {DRAWS + 1} - 1e-9)),
     es AS (SELECT path.side, path.tau, path.v - o.v AS v FROM path JOIN path o ON o.side = path.side AND o.tau = -1)
     SELECT side, CAST(tau AS INT) AS tau, {rnd('v')} AS estimate, {rnd('se')} AS se, {rnd('v - coalesce(crit, 0) * se', 4)} AS lower, {rnd('v + coalesce(crit, 0) * se', 4)} AS upper FROM es JOIN se USING (side, tau) LEFT JOIN cr USING (side)"""
+
+SQL["es_percentiles"] = SQL["es_supt_band"].split("    se AS (SELECT tau, stddev_samp(z)")[0].rstrip().rstrip(",") + f""", est AS (SELECT tau, avg(att) AS e FROM att GROUP BY tau),
+    o AS (SELECT tau, z, row_number() OVER (PARTITION BY tau ORDER BY z) AS i FROM z)
+    SELECT CAST(tau AS INT) AS tau, CAST(level AS DOUBLE) AS level, {rnd('e + z', 5)} AS value FROM o JOIN est USING (tau) CROSS JOIN (VALUES (0.05), (0.5), (0.95)) v(level) WHERE i = ceil(level * {DRAWS} - 1e-12)"""
+_wm = lambda c, a: f"sum({c} * wt) FILTER (WHERE arm = {a}) / sum(wt) FILTER (WHERE arm = {a})"
+_wv = lambda c, a: f"(sum({c} * {c} * wt) FILTER (WHERE arm = {a}) / sum(wt) FILTER (WHERE arm = {a}) - pow({_wm(c, a)}, 2))"
+SQL["balance_plot"] = f"WITH d AS (SELECT *, avg(arm) OVER (PARTITION BY stratum) AS p FROM ({RCT})), w AS (SELECT y, x, arm, 'raw' AS sample, 1.0 AS wt FROM d UNION ALL SELECT y, x, arm, 'weighted', CASE WHEN arm = 1 THEN 1 / p ELSE 1 / (1 - p) END FROM d) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS covariate, sample, {rnd(f'({_wm(c, 1)} - {_wm(c, 0)}) / sqrt(({_wv(c, 1)} + {_wv(c, 0)}) / 2)')} AS smd FROM w GROUP BY sample" for c in ("y", "x"))

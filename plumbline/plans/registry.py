@@ -10,7 +10,7 @@ from plumbline.functions import kernels as K
 from plumbline.operators import boot as B
 from plumbline.operators import dependent, did, fe, gls, graph, iv, linear, panel, quantile, rct, spatial, synth
 from plumbline.operators.ols import OLS, linear_form
-from plumbline.plans import oracles
+from plumbline.plans import oracles, report
 from plumbline.plans.formula import estimate
 from plumbline.sources.datasets import dataset, table
 
@@ -408,6 +408,18 @@ def es_supt_band(spark, sf_dir):
     return fit.band().select("side", "tau", r("estimate").alias("estimate"), r("se").alias("se"), r("lower", 5).alias("lower"), r("upper", 5).alias("upper"))
 
 
+@query
+def es_percentiles(spark, sf_dir):
+    fit = _study(spark, sf_dir, weights="equal", boot=B.Boot(DRAWS, seed=11, cluster=("cluster",)))
+    return report.percentile_plot(fit, (0.05, 0.5, 0.95)).select("tau", "level", r("value", 5).alias("value"))
+
+
+@query
+def balance_plot(spark, sf_dir):
+    d = _by_stratum_share(spark, sf_dir).withColumn("wt", F.when(F.col("arm") == 1, 1 / F.col("p")).otherwise(1 / (1 - F.col("p"))))
+    return report.balance_plot(d, "arm", ["y", "x"], "wt").select("covariate", "sample", r("smd").alias("smd"))
+
+
 @query
 def es_reg(spark, sf_dir):
     return _study(spark, sf_dir, method="reg", covariates=["x"]).extra["att_gt"].select("g", "t", "tau", r("att").alias("att"), "n_treat")

@@ -171,3 +171,18 @@ def test_time_multipliers_take_the_kernels_bandwidth(spark):
     for kernel in ("bartlett", "parzen", "qs"):
         w = dependent.time_multipliers(d, "t", 300, kernel=kernel).toPandas().pivot(index="b", columns="key", values="w").to_numpy()
         assert 0.6 < w.var() < 1.5 and np.corrcoef(w[:, 10], w[:, 11])[0, 1] > 0.3
+
+
+def test_tables_have_groups_statistics_bands_and_notes(spark):
+    from plumbline.operators.result import Result
+    from plumbline.plans import report
+
+    a = Result(spark, {"x_1": 1.5, "tau_0": 2.0}, {"x_1": 0.25, "tau_0": 0.5}, bands=[("post", 0, 2.0, 0.5, 1.0, 3.0)], n_obs=10, diagnostics={"rank": 2.0})
+    b = Result(spark, {"x_1": 2.0}, n_obs=20)
+    text = report.render({"one": a, "two": b}, digits=2, groups={"left": 1, "right": 1}, stats=("rank", "nothing"), notes=("5% & more",), bands=True)
+    lines = text.splitlines()
+    assert lines[0].split() == ["left", "right"] and "[1.00, 3.00]" in text and lines[-1] == "5% & more" and any(x.split() == ["rank", "2.00"] for x in lines) and "nothing" not in text
+    tex = report.render({"one": a, "two": b}, digits=2, latex=True, groups={"left": 2}, notes=("5% & more",))
+    assert "\\multicolumn{2}{c}{left}" in tex and "x\\_1 & 1.50 & 2.00" in tex and "5\\% \\& more" in tex and tex.count("\\hline") == 2
+    with pytest.raises(ValueError):
+        report.render({"one": a, "two": b}, groups={"left": 1})
