@@ -59,11 +59,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read back (columnar and compressed: for wide or long tables)."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write as Parquet in the shared folder and read back (columnar and compressed: for wide or long tables).
+
+    ``batch``: rows that go to a Python worker at a time meanwhile; fewer for wide rows, which bounds both sides' memory.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = fresh_path(spark, name), spark.conf.get(key)
+    if batch:
+        spark.conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,6 +89,14 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def released(batches):
+    """The batches; when they end, the worker gives the memory that Arrow keeps for later back, as workers live on."""
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

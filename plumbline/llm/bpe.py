@@ -21,15 +21,20 @@ import hashlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _common as C
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text handled at a time, bytes and rows of one recursive query, cached matches: all bound memory only.
-TEXT_CHARS, QUERY_BYTES, QUERY_ROWS, CACHED = 4_000_000, 400_000, 12_000_000, 800_000
+TEXT_CHARS, QUERY_BYTES, QUERY_ROWS, CACHED = 2_000_000, 400_000, 6_000_000, 700_000
+#: Memory that a database may take, and more, at so many bytes a byte, for a longer word than a query usually holds.
+LEAST_MB, GROWTH = 160, 400
 #: Blocks of words that fit in one have this many bits of offset.
 BLOCK_BITS = 6
 
@@ -70,12 +75,12 @@ WITH RECURSIVE enc(w, k, tok, len, round) AS (
         ON f.b BETWEEN (h.k >> {bits}) - 1 AND (h.k >> {bits}) AND f.k < h.k
     ),
     chosen AS MATERIALIZED (
-        SELECT k, mid, fin, new FROM hits
+        SELECT w, k, mid, fin, new FROM hits
         WHERE k NOT IN (SELECT k FROM later) AND (k NOT IN (SELECT k FROM after) OR k IN (SELECT k FROM ranked WHERE i % 2 = 1 AND go))
     )
     SELECT e.w, e.k, coalesce(c.new, e.tok), coalesce(c.fin - e.k, e.len)::SMALLINT, CASE WHEN o.w IS NULL THEN -1 ELSE e.round + 1 END::SMALLINT
     FROM live e LEFT JOIN (SELECT k, new, fin FROM chosen UNION ALL SELECT mid, -1, 0 FROM chosen) c ON c.k = e.k
-    LEFT JOIN (SELECT DISTINCT w FROM p) o ON o.w = e.w
+    LEFT JOIN (SELECT DISTINCT w FROM chosen) o ON o.w = e.w
     WHERE c.new IS DISTINCT FROM -1)
 )"""
 
@@ -94,15 +99,27 @@ class Codec:
                 if u is not None and v is not None:
                     merges.append((u, v, r, t, i))
         loose = {m for u, v, r, t, i in merges for m in self._loose(u, v, r, t, i)}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-        pairs = pa.table({"ab": np.array([u * 65536 + v for u, v, *_ in merges]), "new": np.array([m[2] for m in merges], np.int32), "loose": [m[:2] in loose for m in merges]})
-        vocabulary = pa.table({"id": np.array(list(self.ranks.values()), np.int32), "bytes": [t.decode("latin-1") for t in self.ranks]})
-        for name, t in (("pairs", pairs), ("vocabulary", vocabulary)):
-            self._table(name, t)
+        self.pairs = pa.table({"ab": np.array([u * 65536 + v for u, v, *_ in merges]), "new": np.array([m[2] for m in merges], np.int32), "loose": [m[:2] in loose for m in merges]})
+        self.vocabulary = pa.table({"id": np.array(list(self.ranks.values()), np.int32), "bytes": [t.decode("latin-1") for t in self.ranks]})
+        self.opened = None
         #: Matches' ids of this and the last generation; a generation ends at half of CACHED.
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
 
+    @property
+    def db(self):
+        if self.opened is None:
+            self.opened, self.limit = duckdb.connect(config={"threads": 1, "memory_limit": f"{LEAST_MB}MB", "temp_directory": ""}), LEAST_MB
+            self._table("pairs", self.pairs)
+            self._table("vocabulary", self.vocabulary)
+        return self.opened
+
+    def close(self) -> None:
+        """Gives the database's memory back; it is opened again when needed."""
+        if self.opened is not None:
+            self.opened.close()
+            self.opened = None
+
     def _table(self, name: str, t: pa.Table) -> None:
         self.db.register("_t", t)
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM _t")
@@ -161,6 +178,9 @@ class Codec:
                     end += 1
                 part, at = own[at:end], end
                 self._table("base", self._base([words[i] for i in part], bits))
+                if (limit := max(LEAST_MB, held * GROWTH >> 20)) != self.limit:
+                    self.db.execute(f"SET memory_limit = '{limit}MB'")
+                    self.limit = limit
                 rounds = min(30_000, max(4, QUERY_ROWS // max(1, held)))
                 while True:  # a query holds the rows of all its rounds: very long words go on in a further one
                     query = ROUND.format(bits=bits, rounds=rounds, least=LEAST[any(len(words[i]) > 1 << bits for i in part)])
@@ -199,7 +219,8 @@ class Codec:
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
         self.db.register("_ids", pa.table({"text": np.repeat(np.arange(len(ids), dtype=np.int32), size), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
         out = [b""] * len(ids)
-        for i, chars in self.db.execute("SELECT text, string_agg(bytes, '' ORDER BY pos) FROM _ids JOIN vocabulary USING (id) GROUP BY text").fetchall():
+        ordered = "SELECT text, bytes FROM _ids JOIN vocabulary USING (id) ORDER BY pos"  # one thread aggregates rows as they come
+        for i, chars in self.db.execute(f"SELECT text, string_agg(bytes, '') FROM ({ordered}) GROUP BY text").fetchall():
             out[i] = chars.encode("latin-1")  # a character stands for a byte
         self.db.unregister("_ids")
         return out
@@ -214,12 +235,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _groups(texts: list[str]):
+def _groups(sizes: list[int]):
+    """Slices of texts of so many characters that hold TEXT_CHARS at most, or one text."""
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         end, held = at, 0
-        while end < len(texts) and (held == 0 or held + len(texts[end]) <= TEXT_CHARS):
-            held += len(texts[end])
+        while end < len(sizes) and (held == 0 or held + sizes[end] <= TEXT_CHARS):
+            held += sizes[end]
             end += 1
         yield at, end
         at = end
@@ -231,7 +253,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Empty texts have no tokens and the digests of nothing.  Null or repeated ids pass through; other columns are not
     read.  A very long text is handled in one piece, its words in bounded queries; memory grows with the longest text
-    and, at some 200 bytes a byte, with the longest unbroken word.
+    and, at some 400 bytes a byte, with the longest unbroken word.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     id_type = docs.schema[id_col].dataType
@@ -241,9 +263,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at, end in _groups(texts):
-                joined = c.encode(texts[at:end])
+            for at, end in _groups(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
+                joined = c.encode(batch.column(1).slice(at, end - at).to_pylist())
                 ids = [np.fromstring(x, np.int32, sep=" ") if x else np.zeros(0, np.int32) for x in joined]
                 shas = [hashlib.sha256(x.encode()).hexdigest() for x in joined]
                 decoded = [hashlib.sha256(x).hexdigest() for x in c.decode(ids)]
@@ -251,8 +272,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if keep_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
+        c.close()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(lambda batches: C.released(run(batches)), schema)
 
 
 def decode(ids: list[int], path: str) -> bytes:
