@@ -586,3 +586,17 @@ _wm = lambda c, a: f"sum({c} * wt) FILTER (WHERE arm = {a}) / sum(wt) FILTER (WH
 _wv = lambda c, a: f"(sum({c} * {c} * wt) FILTER (WHERE arm = {a}) / sum(wt) FILTER (WHERE arm = {a}) - pow({_wm(c, a)}, 2))"
 SQL["balance_plot"] = f"WITH d AS (SELECT *, avg(arm) OVER (PARTITION BY stratum) AS p FROM ({RCT})), w AS (SELECT y, x, arm, 'raw' AS sample, 1.0 AS wt FROM d UNION ALL SELECT y, x, arm, 'weighted', CASE WHEN arm = 1 THEN 1 / p ELSE 1 / (1 - p) END FROM d) " + " UNION ALL ".join(
     f"SELECT '{c}' AS covariate, sample, {rnd(f'({_wm(c, 1)} - {_wm(c, 0)}) / sqrt(({_wv(c, 1)} + {_wv(c, 0)}) / 2)')} AS smd FROM w GROUP BY sample" for c in ("y", "x"))
+
+# clusters two ways, and six-point multipliers
+def _clustered(by: str, weight: str, factor: str) -> str:
+    c, b = linear_system("dat", X, ["y"], units=True)
+    dev = [" + ".join(f"{b[1 + j][i]} * z{j}" for j in range(4)) for i in range(4)]
+    return f"""WITH dat AS ({LINES}), {c}, scores AS (SELECT {by}, sum(q * {_u}) AS s0, sum(d * {_u}) AS s1, sum(x * {_u}) AS s2, sum({_u}) AS s3 FROM dat CROSS JOIN solved GROUP BY {by}),
+    sums AS (SELECT b, {', '.join(f'sum({weight} * s{j}) AS z{j}' for j in range(4))} FROM scores CROSS JOIN range({DRAWS}) r(b) GROUP BY b),
+    k AS (SELECT CAST({factor} AS DOUBLE) AS g FROM scores), se AS (SELECT {', '.join(f'stddev_samp({e}) AS e{i}' for i, e in enumerate(dev))} FROM sums CROSS JOIN solved),
+    f AS (SELECT *, sqrt((n - 1.0) / (n - 4.0) * g / (g - 1.0)) AS c FROM solved CROSS JOIN k CROSS JOIN se)
+    {' UNION ALL '.join(f"SELECT '{n}' AS param, {rnd(f'b{i}_0')} AS estimate, {rnd(f'c * e{i}')} AS se FROM f" for i, n in enumerate(NAMES))}"""
+
+
+SQL["ols_twoway_boot_se"] = _clustered("supp, status", f"({sign(7, 'supp', 'b')}) * ({sign(8, 'status', 'b')})", "least(count(DISTINCT supp), count(DISTINCT status))")
+SQL["ols_robust_webb_se"] = _clustered("supp", "[-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)][CAST(floor(CAST(('0x' || substr(md5(concat('7:', CAST(supp AS VARCHAR), ':', CAST(b AS VARCHAR))), 1, 12)) AS BIGINT) / 281474976710656.0 * 6) AS INT) + 1]", "count(*)")

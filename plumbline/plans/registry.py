@@ -343,6 +343,20 @@ def ols_null_wald(spark, sf_dir):
     return facts(_under_null(spark, sf_dir), "wald", "wald_crit")
 
 
+@query
+def ols_twoway_boot_se(spark, sf_dir):
+    """Clustered two ways: the product of both ways' multipliers."""
+    fit = OLS("y", ["q", "d", "x"], dataset(spark, sf_dir, "lines"), boot=B.Boot(DRAWS, seed=7, cluster=("supp", "status"))).fit()
+    return _rounded(fit.coef())
+
+
+@query
+def ols_robust_webb_se(spark, sf_dir):
+    """Six-point multipliers by supplier."""
+    fit = OLS("y", ["q", "d", "x"], dataset(spark, sf_dir, "lines"), boot=B.Boot(DRAWS, "webb", seed=7, cluster=("supp",))).fit()
+    return _rounded(fit.coef())
+
+
 @query
 def ols_row_boot_se(spark, sf_dir):
     """Rows that repeat, and no key: each row is drawn for itself."""
