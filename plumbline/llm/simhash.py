@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: C.released(run(b)), schema)
 
 
 # masks of the bits that must agree
@@ -135,7 +135,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     rows count as copies.  Whole texts are read, one at a time: memory grows with the longest one.  Empty table: no rows; other
     columns are not read.
     """
-    rows = C.stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    rows = C.stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints", 2000)
     classes = C.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     labels = C.least_reachable(links(classes, bits), classes.withColumnRenamed("fp", "key"))
     out = rows.join(labels.hint("merge"), rows.fp == labels.key)
