@@ -32,9 +32,9 @@ from . import _common as C
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text handled at a time, bytes and rows of one recursive query, cached matches: all bound memory only.
-TEXT_CHARS, QUERY_BYTES, QUERY_ROWS, CACHED = 2_000_000, 400_000, 6_000_000, 700_000
+TEXT_CHARS, QUERY_BYTES, QUERY_ROWS, CACHED = 2_000_000, 300_000, 4_000_000, 500_000
 #: Memory that a database may take, and more, at so many bytes a byte, for a longer word than a query usually holds.
-LEAST_MB, GROWTH = 160, 400
+LEAST_MB, GROWTH = 120, 400
 #: Blocks of words that fit in one have this many bits of offset.
 BLOCK_BITS = 6
 
