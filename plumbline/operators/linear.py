@@ -61,15 +61,29 @@ def gram_pairs(df: DataFrame, cols: Sequence[str], pairs: DataFrame, key: str) -
 
 
 def tsqr(df: DataFrame, cols: Sequence[str], fan: int = 64) -> np.ndarray:
-    """R of the QR factorisation of the rows, by a tree of local factorisations (k x k rows a node)."""
+    """R of the QR factorisation of the rows, by a tree of local factorisations (k x k rows a node).
+
+    The tree goes on inside a task: its batches' factors meet ``fan`` at a time, level by level.  One factor carried through
+    all batches would gather a rounding error from each, and a task of some millions of rows would pass the rank rules.
+    """
     k = len(cols)
     schema = "row array<double>"
 
     def local(batches):
-        r = np.zeros((0, k))
+        levels: list[list[np.ndarray]] = [[]]
         for b in batches:
             x = np.column_stack([np.asarray(c, np.float64) for c in b.columns]) if b.num_columns == k and b.schema.names[0] != "row" else np.array(b.column(0).to_pylist(), float).reshape(-1, k)
-            r = np.linalg.qr(np.vstack([r, x]), mode="r")
+            r, i = np.linalg.qr(x, mode="r") if len(x) else x, 0
+            levels[0].append(r)
+            while len(levels[i]) >= fan:
+                r, levels[i], i = np.linalg.qr(np.vstack(levels[i]), mode="r"), [], i + 1
+                if i == len(levels):
+                    levels.append([])
+                levels[i].append(r)
+        r = np.zeros((0, k))
+        for level in levels:  # what is left, the smallest first
+            rest = np.vstack([r, *level])
+            r = np.linalg.qr(rest, mode="r") if len(rest) else rest
         yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64()))], ["row"])
 
     rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])

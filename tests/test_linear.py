@@ -228,3 +228,18 @@ def test_webb_falls_back(data):
         warnings.simplefilter("always")
         OLS("y", ["x1"], df, boot=B.Boot(20, "webb", cluster=("g",))).fit()
     assert any("six clusters" in str(w.message) for w in got)
+
+
+def test_rank_of_a_task_of_many_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "30")
+    try:
+        d = spark.range(0, 120_000, 1, 1).selectExpr("(id * 7919 % 50 + 1) / 10D AS q", "(id * 104729 % 11) / 10D AS d", "(id * 1299709 % 9) / 10D AS x")
+        d = d.selectExpr("q", "2 * q AS twice", "d", "x", "d + x AS sum")
+        r, _ = L.pivoted_qr(L.tsqr(d, d.columns))
+        assert len(L.screen(d, d.columns)[0]) == 3
+        size = np.abs(np.diag(r))
+        assert (size[3:] < 4e-15 * size.mean()).all(), size  # does not grow with the batches
+    finally:
+        spark.conf.set(key, before)
