@@ -106,19 +106,40 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def radius_components(points: DataFrame, radius: float, key: str = "id", x: str = "x", y: str = "y", time: str | None = None, window: float | None = None) -> DataFrame:
     """(node, component) of the graph that links points within ``radius`` (and ``window`` of time); lone points are their own.
 
-    Points meet in square cells of the radius: each looks at its own and neighbouring cells only.
+    Points meet in cells of which any two members are linked, so cells are what is joined up, by their least nodes.  Two cells
+    at most two apart are linked if any pair of their points is; as one lies wholly on one side of the other, of the points in a
+    row across only the nearest counts.  Pairs are never rows, and copies meet once.  Cells hold for coordinates below 2 ** 50 radii.
     """
-    cx, cy = F.floor(F.col(x) / radius), F.floor(F.col(y) / radius)
-    p = points.select(F.col(key).alias("node"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"), (F.col(time).cast("double") if time else F.lit(0.0)).alias("pt"), cx.alias("cx"), cy.alias("cy"))
-    near = p.select(F.col("node").alias("dst"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("pt").alias("qt"), "cx", "cy")
-    near = near.withColumn("dx", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    near = near.select("dst", "qx", "qy", "qt", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    cell = lambda c, size: F.floor(c / F.lit(size / 1.5)).cast("double") if size else c
+    timed = bool(time) and window is not None
+    p = points.select(F.col(key).alias("node"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"), (F.col(time).cast("double") if time else F.lit(0.0)).alias("pt"))
+    cells = {"cx": cell(F.col("px"), radius), "cy": cell(F.col("py"), radius), "ct": cell(F.col("pt"), window) if timed else F.lit(0.0)}
+    at = list(cells)
+    ok = F.col("node").isNotNull() & finite(F.col("px")) & finite(F.col("py")) & (finite(F.col("pt")) if timed else F.lit(True))
+    placed = p.where(ok).withColumns(cells)
+    reps = checkpointed(placed.groupBy(*at).agg(F.min("node").alias("rep")))
+
+    reach, later = (2 if radius else 0), (2 if timed and window else 0)
+    steps = [(i, j, k) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) for k in range(-later, later + 1) if (i, j, k) > (0, 0, 0)]
+    edges = placed.join(reps, at).groupBy("node").agg(F.min("rep").alias("src"), F.collect_set("rep").alias("dst")).where(F.size("dst") > 1)  # a node at several places
+    edges = edges.select("src", F.explode("dst").alias("dst")).where("src <> dst")
     d2 = (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy"))
-    ok = (F.col("node") < F.col("dst")) & (d2 <= radius * radius)
-    if time and window is not None:
-        ok = ok & (F.abs(F.col("pt") - F.col("qt")) <= window)
-    edges = p.join(near, ["cx", "cy"]).where(ok).select(F.col("node").alias("src"), "dst").distinct()
-    found = components(edges)
+    for axis, own in (("px", [s for s in steps if s[0]]), ("py", [s for s in steps if not s[0] and s[1]]), ("pt", [s for s in steps if not s[0] and not s[1]])):
+        if not own:
+            continue
+        across = [c for c in ("px", "py", "pt") if c != axis and (axis != "pt" or c == axis)]
+        ends = placed.groupBy(*at, *across).agg(F.max(axis).alias("high"), F.min(axis).alias("low")).join(reps, at)
+        one = {"px": F.lit(0.0), "py": F.lit(0.0)} | {c: F.col(c) for c in across}
+        left = ends.select(*at, F.col("rep").alias("src"), *[c.alias(n) for n, c in (one | {"pt": one.get("pt", F.lit(0.0)), axis: F.col("high")}).items()])
+        right = ends.select(*at, F.col("rep").alias("dst"), *[c.alias("q" + n[1]) for n, c in (one | {"pt": one.get("pt", F.lit(0.0)), axis: F.col("low")}).items()])
+        right = right.withColumn("s", F.explode(F.array(*[F.array(*map(F.lit, map(float, s))) for s in own])))
+        right = right.select("dst", "qx", "qy", "qt", *[(F.col(c) - F.col("s")[i]).alias(c) for i, c in enumerate(at)])
+        near = d2 <= radius * radius
+        if timed:
+            near = near & (F.abs(F.col("pt") - F.col("qt")) <= window)
+        edges = edges.unionByName(left.join(right, at).where(near & (F.col("src") != F.col("dst"))).select("src", "dst").distinct())
+    found = components(edges.distinct()).select(F.col("node").alias("rep"), "component")
+    found = reps.join(found, "rep", "left").select(*at, F.coalesce("component", "rep").alias("component"))
+    found = placed.join(found, at).groupBy("node").agg(F.min("component").alias("component"))
     return p.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-

@@ -179,3 +179,41 @@ def test_stream_keeps_least_squares(spark, tmp_path):
     beta, n = incremental.current(spark, str(tmp_path / "out"), "y", ["x0", "x1", "one"], cols)
     p = d.toPandas()
     assert n == 200 and np.allclose(beta, np.linalg.lstsq(p[["x0", "x1", "one"]].to_numpy(), p.y, rcond=None)[0])
+
+
+def test_radius_components_against_brute_force(spark):
+    r = np.random.default_rng(8)
+    n = 400
+    x, y, t = r.uniform(-12, 12, n).round(2), r.integers(-6, 7, n).astype(float), r.integers(0, 9, n).astype(float)
+    x[:40], y[:40] = x[40:80], y[40:80]  # copies
+    ids = r.permutation(n)
+    ids[5], x[7], y[8] = ids[6], np.nan, np.inf  # one node at two places, and two nowhere
+    df = spark.createDataFrame([tuple(v) for v in zip(ids.tolist(), x.tolist(), y.tolist(), t.tolist())], "id long, x double, y double, t double")
+    for radius, window in ((1.0, None), (0.7, None), (0.0, None), (2.0, 1.0), (2.0, 0.0), (3.0, 0.5)):
+        with np.errstate(invalid="ignore"):
+            link = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= radius * radius
+        link &= True if window is None else np.abs(t[:, None] - t) <= window
+        link |= ids[:, None] == ids
+        label = ids.copy()
+        while (new := np.where(link, label, n).min(1)).tolist() != label.tolist():
+            label = new
+        got = graph.radius_components(df, radius, time=None if window is None else "t", window=window).collect()
+        assert sorted((g.node, g.component) for g in got) == sorted(zip(ids.tolist(), label.tolist())), (radius, window)
+
+
+def test_radius_components_of_many_copies(spark):
+    """20,000 points at 10 places: pairs of points would be 200 million."""
+    df = spark.range(20_000).selectExpr("id", "(id % 10) * 3D AS x", "0D AS y")
+    whole, seen = graph.components, []
+
+    def counted(edges, *a):
+        seen.append(edges.count())
+        return whole(edges, *a)
+
+    graph.components = counted
+    try:
+        got = graph.radius_components(df, 2.0).groupBy("component").count().collect()
+    finally:
+        graph.components = whole
+    assert sorted((r.component, r["count"]) for r in got) == [(i, 2000) for i in range(10)]
+    assert seen == [0]
