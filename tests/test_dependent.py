@@ -45,3 +45,15 @@ def test_recentred_scores_add_up_to_zero(spark):
     d = spark.createDataFrame([(int(i % 7), float(a), float(b), float(a * e), float(b * e)) for i, (a, b, e) in enumerate(r.normal(size=(100, 3)))], "c int, x1 double, x2 double, s1 double, s2 double")
     out = D.recentred(d, ["s1", "s2"], ["x1", "x2"], "c").agg(F.sum("s1"), F.sum("s2")).first()
     assert np.abs(out).max() < 1e-9
+
+
+def test_space_cluster_multipliers_of_copies(spark, monkeypatch):
+    """Copies of places are no links: 5,000 points at 5 places, of which two are near each other."""
+    from plumbline.operators import graph
+
+    p = spark.range(5000).selectExpr("id", "array(0D, 1D, 5D, 10D, 15D)[id % 5] AS x", "0D AS y")
+    seen, whole = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e: (seen.append(e.count()), whole(e))[1])
+    got = {(r.component, r.n) for r in D.space_cluster_multipliers(p, 3, 1.0).groupBy("component", "b").agg(F.count("w").alias("n")).collect()}
+    assert got == {(0, 2000), (2, 1000), (3, 1000), (4, 1000)}
+    assert seen == [1]
