@@ -5,8 +5,8 @@ recursive query joins neighbouring rows with the merge table and contracts the l
 left; ordered aggregation gives ids.  Every text's ids are decoded by an ordered aggregation of the vocabulary's bytes.
 Results of matches are kept in a bounded cache, which only saves time.
 
-Rows are keyed by byte offset, and offsets fall into blocks.  A word of up to one block contracts as such.  In a longer
-word many pairs go in one round: those whose rank is the least of their own and both neighbouring blocks, blocks being
+Rows are keyed by byte offset, and offsets fall into blocks.  A word of up to one block contracts its leftmost pair of least
+rank, one a round; where all of a query's words are so short, a shorter query does it (``SHORT_ROUND``).  In a longer word many pairs go in one round: those whose rank is the least of their own and both neighbouring blocks, blocks being
 twice as long as the longest token that the word holds.  Whatever could reach such a pair first would have to start from
 a pair of lower rank as near as that, so the order among them is free, but for three cases: overlapping pairs of one
 rank go by every second one from the left; a run of those waits for its left end; and where the new token would at once
@@ -84,6 +84,22 @@ WITH RECURSIVE enc(w, k, tok, len, round) AS (
     WHERE c.new IS DISTINCT FROM -1)
 )"""
 
+# Words of one block each: the leftmost pair of least rank of every word, packed as rank, place and both tokens' lengths.
+SHORT_ROUND = """
+WITH RECURSIVE enc(w, k, tok, len, round) AS (
+    SELECT w, k, tok, len, 0::SMALLINT FROM base
+    UNION ALL
+    (WITH live AS (SELECT w, k, tok, len, round FROM enc WHERE round BETWEEN 0 AND {rounds} - 1),
+    best AS MATERIALIZED (
+        SELECT l.w, min((m.new::BIGINT << 47) | (l.k::BIGINT << 16) | (l.len::BIGINT << 8) | r.len::BIGINT) AS x
+        FROM live l JOIN live r ON r.k = l.k + l.len JOIN pairs m ON m.ab = l.tok::BIGINT * 65536 + r.tok GROUP BY l.w
+    ),
+    chosen AS (SELECT w, (x >> 47)::INT AS new, ((x >> 16) & 2147483647)::INT AS k, ((x >> 8) & 255)::INT AS own, (x & 255)::INT AS other FROM best)
+    SELECT e.w, e.k, CASE WHEN e.k = c.k THEN c.new ELSE e.tok END, (CASE WHEN e.k = c.k THEN c.own + c.other ELSE e.len END)::SMALLINT,
+        CASE WHEN c.w IS NULL THEN -1 ELSE e.round + 1 END::SMALLINT
+    FROM live e LEFT JOIN chosen c ON c.w = e.w WHERE c.w IS NULL OR e.k <> c.k + c.own)
+)"""
+
 
 class Codec:
     def __init__(self, path: str, pattern: str):
@@ -183,7 +199,8 @@ class Codec:
                     self.limit = limit
                 rounds = min(30_000, max(4, QUERY_ROWS // max(1, held)))
                 while True:  # a query holds the rows of all its rounds: very long words go on in a further one
-                    query = ROUND.format(bits=bits, rounds=rounds, least=LEAST[any(len(words[i]) > 1 << bits for i in part)])
+                    longest = max(len(words[i]) for i in part)
+                    query = (SHORT_ROUND if longest <= 1 << BLOCK_BITS else ROUND).format(bits=bits, rounds=rounds, least=LEAST[longest > 1 << bits])
                     self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {query} SELECT * FROM enc WHERE round IN (-1, {rounds})")
                     for w, ids in self.db.execute("SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY k) FROM done WHERE round = -1 GROUP BY w").fetchall():
                         out[part[w]] = ids

@@ -227,3 +227,27 @@ def test_forest_spans_the_links():
     a, b = [1, 2, 3, 5, 1], [2, 3, 1, 6, 3]
     f = embeddings._forest(a, b)
     assert len(f) == 3
+
+
+def test_short_words_contract_one_pair_a_round(monkeypatch):
+    """Words of up to a block take the leftmost pair of least rank each round, by the short query; the general one gives the same."""
+    import public_tokenizers
+    from plumbline.llm import bpe
+
+    c = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    r = random.Random(3)
+    words = list({bytes(r.choice(alphabet) for _ in range(r.randint(1, 64))) for alphabet in (b"ab", b"the ing", b"aaab", bytes(range(256))) for _ in range(60)})
+
+    def plain(word):
+        parts = [bytes([x]) for x in word] if word not in c.ranks else [word]
+        while pairs := [(c.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in c.ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return " ".join(str(c.ranks[p]) for p in parts)
+
+    want = [plain(w) for w in words]
+    assert c._merge(words) == want
+    monkeypatch.setattr(bpe, "SHORT_ROUND", bpe.ROUND)
+    assert c._merge(words) == want
+    monkeypatch.setattr(bpe, "SHORT_ROUND", "not used by longer words")
+    assert c._merge([b"ab" * 40]) == [plain(b"ab" * 40)]
