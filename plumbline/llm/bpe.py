@@ -5,12 +5,13 @@ recursive query joins neighbouring rows with the merge table and contracts the l
 left; ordered aggregation gives ids.  Every text's ids are decoded by an ordered aggregation of the vocabulary's bytes.
 Results of matches are kept in a bounded cache, which only saves time.
 
-Rows are keyed by byte offset, and offsets fall into blocks.  A word of up to one block contracts its leftmost pair of least
-rank, one a round; where all of a query's words are so short, a shorter query does it (``SHORT_ROUND``).  In a longer word many pairs go in one round: those whose rank is the least of their own and both neighbouring blocks, blocks being
-twice as long as the longest token that the word holds.  Whatever could reach such a pair first would have to start from
-a pair of lower rank as near as that, so the order among them is free, but for three cases: overlapping pairs of one
-rank go by every second one from the left; a run of those waits for its left end; and where the new token would at once
-form a pair of lower rank still (``trig``), only the leftmost pair of the three blocks goes.
+Rows are keyed by byte offset, and offsets fall into blocks.  A word of up to one block contracts its leftmost pair of
+least rank, one a round; where all of a query's words are so short, a shorter query does it (``SHORT_ROUND``).  In a
+longer word many pairs go in one round: those whose rank is the least of their own and both neighbouring blocks, blocks
+being twice as long as the longest token that the word holds.  Whatever could reach such a pair first would have to start
+from a pair of lower rank as near as that, so the order among them is free, but for three cases: overlapping pairs of
+one rank go by every second one from the left; a run of those waits for its left end; and where the new token would at
+once form a pair of lower rank still (``trig``), only the leftmost pair of the three blocks goes.
 """
 
 from __future__ import annotations
